@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import exact_dedup, mixing, secret_scan
+from . import bpe, exact_dedup, mixing, quality, secret_scan, token_output
 
 QUERIES: dict[str, Callable] = {
     "op3_secret_scan": secret_scan.op3_secret_scan,
+    "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_token_output": token_output.op5_token_output,
+    "op7_quality_rules": quality.op7_quality_rules,
     "op8_mixing": mixing.op8_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op7_quality_rules": quality.ORACLE_SQL,
+    "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+}
