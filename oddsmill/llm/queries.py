@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, exact_dedup, mixing, quality, secret_scan, token_output
+from . import bpe, exact_dedup, mixing, quality, secret_scan, simhash, token_output
 
 QUERIES: dict[str, Callable] = {
+    "op1_simhash": simhash.op1_simhash,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_token_output": token_output.op5_token_output,
