@@ -57,16 +57,21 @@ def distinct_chunks(cut: DataFrame) -> DataFrame:
     return cut.groupBy("address", "chunk").agg(F.lit(1).alias("seen")).drop("seen")
 
 
-def collisions(distinct: DataFrame) -> DataFrame:
+def collisions(pieces: DataFrame) -> DataFrame | None:
     """(address, chunk, nth): the chunks that share an address with a smaller one, numbered from 1.
 
-    An address with one chunk is verified and needs no row here.
+    An address with one chunk is verified and needs no row here.  Chunks move
+    once to find shared addresses; only where there are some are the chunks at
+    those addresses read again.  None if all addresses are verified.
     """
-    shared = distinct.groupBy("address").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("address").alias("_a"))
-    rows = distinct.join(shared, F.col("address") == F.col("_a")).drop("_a")
+    counted = distinct_chunks(pieces).groupBy("address").agg(F.count(F.lit(1)).alias("n"))
+    shared = materialize(counted.where("n > 1").select(F.col("address").alias("_a")), "chunk-shared")
+    if shared.isEmpty():
+        return None
+    rows = materialize(distinct_chunks(pieces.join(shared, F.col("address") == F.col("_a"), "left_semi")), "chunk-clashes")
     other = rows.select(F.col("address").alias("_a"), F.col("chunk").alias("_c"))
     pairs = rows.join(other, (F.col("address") == F.col("_a")) & (F.col("_c") < F.col("chunk")))
-    return pairs.groupBy("address", "chunk").agg(F.count(F.lit(1)).alias("nth"))
+    return materialize(pairs.groupBy("address", "chunk").agg(F.count(F.lit(1)).alias("nth")), "chunk-ordinals")
 
 
 def exact_groups(
@@ -86,11 +91,11 @@ def exact_groups(
     )
     cut = norm.select("_id", "_chars", "_norm", chunks(F.col("_norm")).alias("_chunks"))
     pieces = cut.select(F.explode("_chunks").alias("chunk")).select(address(F.col("chunk")).alias("address"), "chunk")
-    clashes = materialize(collisions(distinct_chunks(pieces)), "chunk-clashes")
+    clashes = collisions(pieces)
 
     recipe = F.transform("_chunks", lambda c: F.struct(address(c).alias("a"), F.lit(0).cast("long").alias("n")))
     lists = cut.select("_id", "_chars", F.sha2("_norm", 256).alias("_sha"), recipe.alias("_recipe"), "_chunks")
-    if clashes.isEmpty():
+    if clashes is None:
         lists = lists.drop("_chunks")
     else:
         lists = _with_ordinals(lists, clashes)
@@ -102,7 +107,8 @@ def exact_groups(
         F.max("_chars").alias("_most"),
         F.count(F.lit(1)).alias("group_size"),
     )
-    shared = groups.where("group_size > 1").withColumnRenamed("_recipe", "_r")
+    # a table of its own, so that the join below deals rows anew and can split a hot list
+    shared = materialize(groups.where("group_size > 1").withColumnRenamed("_recipe", "_r"), "recipe-groups")
     out = lists.join(shared, F.col("_recipe") == F.col("_r"), "left")
     single = F.col("group_size").isNull()
     return out.select(
