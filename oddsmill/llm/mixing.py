@@ -167,18 +167,20 @@ def mixed_texts(docs: DataFrame, mixture: Mixture, id_col: str = "doc_id", text_
     nothing that could be taken, so they appear in no copy.
     """
     used = mixture.used_segments().where("uses > 0")
-    own = mixture.sources.select(F.col("sid").alias("_sid"), "source")
-    ranges = used.groupBy("sid", "start", "doc_id", "text_key", "size").agg(
-        F.array_sort(F.collect_list(F.struct("word_from", "word_to", "uses"))).alias("ranges")
-    )
-    plans = ranges.join(own, F.col("sid") == F.col("_sid")).groupBy(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("source").alias("_source"), F.col("size").alias("_size")
-    ).agg(F.collect_list(F.col("ranges")).alias("_plans"))
+    own = mixture.sources.select(F.col("sid").alias("_sid"), F.col("source").alias("_source"))
+    plan = F.array_sort(F.collect_list(F.struct("word_from", "word_to", "uses")))
+    plans = used.groupBy("sid", "start", "doc_id", "text_key", "size").agg(plan.alias("_plan")).join(own, F.col("sid") == F.col("_sid"))
+    plans = plans.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_source", F.col("size").alias("_size"), "_plan")
     text = F.col(text_col)
+    keys = [F.col(id_col), F.col("_text_key"), F.col(source_col)]
     keyed = docs.withColumn("_text_key", F.xxhash64(text))
-    unique = keyed.dropDuplicates([id_col, source_col, "_text_key"])
-    on = same([F.col(id_col), F.col("_text_key"), F.col(source_col)], [F.col("_id"), F.col("_key"), F.col("_source")])
-    one = unique.join(plans, on).withColumn("_plan", F.explode("_plans"))
+    again = mixture.documents.groupBy("doc_id", "text_key", "sid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(own, F.col("sid") == F.col("_sid"))
+    again = materialize(again.select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_k"), F.col("_source").alias("_s")), "mix-repeated")
+    if not again.isEmpty():  # rows repeated whole: one row meets the plans of all of them
+        on = same(keys, [F.col("_i"), F.col("_k"), F.col("_s")])
+        once = keyed.join(again, on, "left_semi").dropDuplicates([id_col, "_text_key", source_col])
+        keyed = keyed.join(again, on, "left_anti").unionByName(once)
+    one = keyed.join(plans, same(keys, [F.col("_id"), F.col("_key"), F.col("_source")]))
     one = one.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.col("_plan.uses")))))
     part = F.filter("_plan", lambda r: r["uses"] >= F.col("_copy"))
     one = one.withColumn("_part", part)

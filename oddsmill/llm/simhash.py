@@ -163,8 +163,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("text_key").alias("key")))
     heads = materialize(rows.groupBy("root").agg(best.alias("b")).select(F.col("b.id").alias("_id"), F.col("b.key").alias("_key")), "simhash-heads")
     keyed = docs.withColumn("_text_key", F.xxhash64(text_col))
-    kept = keyed.join(heads, same([F.col(id_col), F.col("_text_key")], [F.col("_id"), F.col("_key")]), "left_semi")
-    return kept.dropDuplicates([id_col, "_text_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    on = same([F.col(id_col), F.col("_text_key")], [F.col("_id"), F.col("_key")])
+    kept = keyed.join(heads, on, "left_semi")
+    again = rows.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = materialize(again.drop("n"), "simhash-repeated")
+    if not again.isEmpty():
+        once = kept.join(again, on, "left_semi").dropDuplicates([id_col, "_text_key"])
+        kept = kept.join(again, on, "left_anti").unionByName(once)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
