@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import small_batches
-from .pretokens import pieces
+from .pretokens import Coder
 
 #: Pieces remembered, and the longest that is.
 CACHE_PIECES, CACHE_BYTES = 300_000, 64
@@ -94,20 +95,15 @@ def _merge_long(piece: bytes, rank: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Merger(dict):
-    """Packed 32-bit identifiers by piece; what is missing is merged on demand."""
+class Merger(Coder):
+    """Identifiers from ranks."""
 
     def __init__(self, rank: dict[bytes, int]):
-        super().__init__()
+        super().__init__(CACHE_PIECES, CACHE_BYTES)
         self.rank = rank
 
-    def __missing__(self, piece: bytes) -> bytes:
-        ids = np.array(merge(piece, self.rank), "<u4").tobytes()
-        if len(piece) <= CACHE_BYTES:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def learn(self, missing: list[bytes]) -> list[bytes]:
+        return [array("I", merge(piece, self.rank)).tobytes() for piece in missing]
 
 
 class Vocabulary:
@@ -125,9 +121,7 @@ class Vocabulary:
         self.merger = Merger(rank)
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        get = self.merger.__getitem__
-        for own in pieces(texts):
-            yield np.frombuffer(b"".join(map(get, own)), "<u4").astype(np.int32)
+        return self.merger.encode(texts)
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """Where each token starts in the text's bytes."""

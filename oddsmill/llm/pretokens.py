@@ -91,7 +91,7 @@ def monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _symbols(points: np.ndarray) -> np.ndarray:
     """Symbols of code points; 0x110000 ends a text."""
-    kind = classes()[points]
+    kind = classes().take(points)
     end = points == 0x110000
     out = kind.copy()  # letters, numbers and others are their own symbols
     white = kind >= _BLANK
@@ -161,40 +161,148 @@ def _parts(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def _cut(texts: list[str]) -> Iterator[list[bytes]]:
+def _groups(texts: list[str | None]) -> Iterator[tuple[list[str], bool]]:
+    """Texts, or parts of a long one, to be scanned together; whether a part is to be continued by the next."""
+    held: list[str] = []
+    size = 0
+    for text in texts:
+        text = text or ""
+        if len(text) > 2 * CHUNK_CHARS:
+            if held:
+                yield held, False
+            held, size = [], 0
+            before = None
+            for part in _parts(text):
+                if before is not None:
+                    yield [before], True
+                before = part
+            yield [before], False
+            continue
+        held.append(text)
+        size += len(text) + 1
+        if size >= CHUNK_CHARS:
+            yield held, False
+            held, size = [], 0
+    if held:
+        yield held, False
+
+
+def _bounds(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, first byte of each piece, byte after it, pieces of each text)."""
     joined = "".join(f"{t}\0" for t in texts)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     ends = np.cumsum([len(t) + 1 for t in texts]) - 1
     points[ends] = 0x110000
     first = starts(points)
     first[ends] = True
-    width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + ((points >= 0x10000) & (points < 0x110000))
-    width[ends] = 1
-    offsets = np.cumsum(width) - width
     marks = np.flatnonzero(first)
-    at = offsets[marks].tolist()
     raw = joined.encode("utf-8", "surrogatepass")
-    bounds = np.searchsorted(marks, ends).tolist()
-    lo = 0
-    for hi in bounds:
-        yield [raw[a:b] for a, b in zip(at[lo:hi], at[lo + 1 : hi + 1], strict=True)]
-        lo = hi + 1
+    at = marks
+    if len(raw) != len(points):
+        heads = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80  # bytes that begin a code point
+        at = np.flatnonzero(heads)[marks]
+    last = np.searchsorted(marks, ends)  # the mark at the end of each text is no piece
+    a, b = np.delete(at, last), np.delete(at, np.concatenate((last[:1] * 0, last[:-1] + 1)))
+    return raw, a, b, np.diff(last, prepend=-1) - 1
 
 
 def pieces(texts: list[str | None]) -> Iterator[list[bytes]]:
-    """The pieces of each text in order, as UTF-8; null is an empty text.  Short texts are scanned together."""
-    held: list[str] = []
-    size = 0
-    for text in texts:
-        text = text or ""
-        if len(text) > 2 * CHUNK_CHARS:
-            yield from _cut(held) if held else ()
-            held, size = [], 0
-            yield [p for part in _parts(text) for cut in _cut([part]) for p in cut]
+    """The pieces of each text in order, as UTF-8; null is an empty text."""
+    held: list[bytes] = []
+    for group, more in _groups(texts):
+        raw, a, b, counts = _bounds(group)
+        own = [raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        if more or held:
+            held += own
+            if not more:
+                yield held
+                held = []
             continue
-        held.append(text)
-        size += len(text) + 1
-        if size >= CHUNK_CHARS:
-            yield from _cut(held)
-            held, size = [], 0
-    yield from _cut(held) if held else ()
+        at = 0
+        for n in counts.tolist():
+            yield own[at : at + n]
+            at += n
+
+
+def distinct(raw: bytes, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct piece, the number of each piece's distinct one).
+
+    Pieces of up to 16 bytes are compared by their first and last eight bytes
+    and their length, sorted by a 64-bit mix of these and then verified; longer
+    ones, and any that the mix confuses, count as distinct.
+    """
+    size = b - a
+    buffer = bytes(8) + raw + bytes(8)
+    window = np.ndarray((len(buffer) - 7,), np.dtype("<u8"), buffer, 0, (1,))
+    short = np.minimum(size, 8)
+    mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - short) * 8).astype(np.uint64)
+    head = window[a + 8] & mask
+    tail = np.where(size > 8, window[b], np.uint64(0))
+    mix = (head ^ (tail * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F) + size.astype(np.uint64)
+    mix ^= mix >> np.uint64(31)
+    _, at, number = np.unique(mix, return_index=True, return_inverse=True)
+    like = at[number]
+    odd = np.flatnonzero((size > 16) | (head != head[like]) | (tail != tail[like]) | (size != size[like]))
+    number[odd] = len(at) + np.arange(len(odd))
+    return np.concatenate((at, odd)), number
+
+
+class Coder:
+    """Identifiers of texts from identifiers of pieces; each distinct piece of a group is looked up once.
+
+    Two generations of a cache bound it: when the younger is full it becomes
+    the older, from which what is used again is carried over.
+    """
+
+    def __init__(self, most: int, longest: int):
+        self.most, self.longest = most, longest
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def learn(self, missing: list[bytes]) -> list[bytes]:
+        """Packed 32-bit identifiers of pieces."""
+        raise NotImplementedError
+
+    def look_up(self, wanted: list[bytes]) -> list[bytes]:
+        packed = list(map(self.known.get, wanted))
+        gaps = [i for i, x in enumerate(packed) if x is None]
+        if gaps:
+            missing = []
+            for i in gaps:
+                packed[i] = self.older.get(wanted[i])
+                if packed[i] is None:
+                    missing.append(i)
+            for i, ids in zip(missing, self.learn([wanted[i] for i in missing]), strict=True):
+                packed[i] = ids
+            for i in gaps:
+                if len(wanted[i]) <= self.longest:
+                    self.known[wanted[i]] = packed[i]
+            if len(self.known) > self.most:
+                self.known, self.older = {}, self.known
+        return packed
+
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Identifiers of each text in order."""
+        held: list[np.ndarray] = []
+        for group, more in _groups(texts):
+            raw, a, b, counts = _bounds(group)
+            place, number = distinct(raw, a, b)
+            packed = self.look_up([raw[i:j] for i, j in zip(a[place].tolist(), b[place].tolist(), strict=True)])
+            flat = np.frombuffer(b"".join(packed), "<u4")
+            sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+            begins = np.cumsum(sizes) - sizes
+            own = sizes[number]
+            to = np.cumsum(own)
+            total = int(to[-1]) if len(to) else 0
+            ids = flat[np.repeat(begins[number] - (to - own), own) + np.arange(total)].astype(np.int32)
+            if more or held:
+                held.append(ids)
+                if not more:
+                    yield np.concatenate(held)
+                    held = []
+                continue
+            stops = np.concatenate(([0], to))[np.cumsum(counts)].tolist()
+            begin = 0
+            for stop in stops:
+                yield ids[begin:stop]
+                begin = stop

@@ -21,6 +21,7 @@ ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,42 +32,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import small_batches, work_path
+from ._common import materialize, small_batches, work_path
 from .bpe import CACHE_BYTES, CACHE_PIECES, _lists
-from .pretokens import pieces
+from .pretokens import Coder
 
 END_ID = 2
+#: Words strung together for one call of the library.
+STRING = 500
 #: Rows between two entries of a row index, and bytes of a stripe before compression.
 INDEX_ROWS, STRIPE_BYTES = 1000, 16 << 20
 
 
-class Pieces:
-    """Packed 32-bit identifiers of pieces, from the library."""
+class Pieces(Coder):
+    """Identifiers from the library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__(CACHE_PIECES, CACHE_BYTES)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str | None], end_id: int) -> Iterator[np.ndarray]:
-        end = np.array([end_id], "<u4").tobytes()
-        get = self.known.get
-        for own in pieces(texts):
-            packed = list(map(get, own))
-            if None in packed:
-                self._learn({p for p, x in zip(own, packed, strict=True) if x is None})
-                packed = list(map(get, own))
-            yield np.frombuffer(b"".join(packed) + end, "<u4").astype(np.int32)
-            if len(self.known) > CACHE_PIECES:
-                self.known.clear()
-
-    def _learn(self, missing: set[bytes]) -> None:
-        ordered = sorted(missing)
-        found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in ordered], add_special_tokens=False)
-        for piece, x in zip(ordered, found, strict=True):
-            self.known[piece] = np.array(x.ids, "<u4").tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token)  # byte-level: one character stands for one byte
+
+    def learn(self, missing: list[bytes]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(missing)
+        plain, other = [], []
+        for i, piece in enumerate(missing):
+            (plain if piece[0] == 0x20 and piece.decode("utf-8", "replace")[1:].isalpha() else other).append(i)
+        # words led by a blank stay pieces when strung together, so one call encodes many
+        for at in range(0, len(plain), STRING):
+            own = plain[at : at + STRING]
+            for i, ids in zip(own, self._string([missing[i] for i in own]), strict=True):
+                out[i] = ids
+        found = self.tokenizer.encode_batch_fast([missing[i].decode("utf-8", "replace") for i in other], add_special_tokens=False)
+        for i, x in zip(other, found, strict=True):
+            out[i] = array("I", x.ids).tobytes()
+        return out
+
+    def _string(self, words: list[bytes]) -> Iterator[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([b"".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w) for w in words])) + 1
+        raw, at = ids.tobytes(), 0
+        for stop in (stops * 4).tolist():
+            yield raw[at:stop]
+            at = stop
 
 
 @cache
@@ -84,7 +96,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, before = _pieces(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = list(encoder.encode(batch.column(1).to_pylist(), end_id))
+            ids = [np.append(x, np.int32(end_id)) for x in encoder.encode(batch.column(1).to_pylist())]
             sizes = np.array([len(x) for x in ids], np.int64)
             starts = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())
@@ -105,13 +117,17 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_i
     )
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, ``start`` (identifiers of all documents before it) and ``ids``."""
-    tokens = spark.read.orc(path)
+def placed(tokens: DataFrame) -> DataFrame:
+    """Rows of ``tokens`` (with shard, local_start, n_tokens) with ``start``, the identifiers of all documents before."""
     files = tokens.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select(F.col("shard").alias("_shard"), F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_base"))
-    return tokens.join(files, F.col("shard") == F.col("_shard")).select("doc_id", (F.col("_base") + F.col("local_start")).alias("start"), "ids")
+    return tokens.join(files, F.col("shard") == F.col("_shard")).withColumn("start", F.col("_base") + F.col("local_start")).drop("_shard", "_base")
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, ``start`` (identifiers of all documents before it) and ``ids``."""
+    return placed(spark.read.orc(path)).select("doc_id", "start", "ids")
 
 
 def look_up(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
@@ -119,19 +135,24 @@ def look_up(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
     return spark.read.orc(path).where(F.col("doc_id").isin([int(i) for i in ids]))
 
 
-def checksums(tokens: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (of little-endian unsigned 32-bit identifiers)."""
-    small_batches(tokens.sparkSession)
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (of little-endian unsigned 32-bit identifiers) of the files in a folder.
+
+    Sums are made where the files are read; only they meet the files' totals.
+    """
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(2)
+            ids = batch.column(3)
             values, at = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
             crc = [zlib.crc32(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "shard", "local_start", "n_tokens", "ids_crc32"])
 
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("doc_id", "start", "ids").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    stored = spark.read.orc(path).select("doc_id", "shard", "local_start", "ids")
+    kind = stored.schema["doc_id"].dataType.simpleString()
+    sums = materialize(stored.mapInArrow(run, f"doc_id {kind}, shard int, local_start long, n_tokens long, ids_crc32 long"), "token-sums")
+    return placed(sums).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -143,4 +164,4 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def op5_token_output(spark, sf_dir: str) -> DataFrame:
     out = work_path(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), out, tokenizer_path())
-    return checksums(read_tokens(spark, out))
+    return checksums(spark, out)

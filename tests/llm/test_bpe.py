@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import regex
@@ -69,9 +70,27 @@ def test_merging_agrees_with_the_library(reference):
         assert bpe._merge_long(p.encode(), ranks) == reference.encode_ordinary(p)
 
 
-def test_cache_stays_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_PIECES", 10)
+def test_cache_stays_bounded(reference):
     m = bpe.Merger(bpe.ranks(bpe.vocabulary_path()))
+    m.most = 10
     for i in range(100):
-        m[str(i).encode()]
-        assert len(m) <= 10
+        text = f"{i} word{i} again " + "x" * i
+        assert next(m.encode([text])).tolist() == reference.encode_ordinary(text)
+        assert len(m.known) <= 20
+
+
+def test_distinct_pieces_are_told_apart():
+    rnd = random.Random(6)
+    words = [bytes(rnd.choices(b"\0ab", k=rnd.randint(1, 20))) for _ in range(5000)]
+    raw, ends = b"".join(words), np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    place, number = pretokens.distinct(raw, starts, ends)
+    assert all(raw[starts[place[k]] : ends[place[k]]] == w for k, w in zip(number, words))
+    assert len(place) < len(words)
+
+
+def test_long_texts_are_encoded_in_parts(monkeypatch, reference):
+    monkeypatch.setattr(pretokens, "CHUNK_CHARS", 120)
+    texts = ["short", " ".join(["some", "words", "'s", "ünd", "\n", "12"] * 300), None, "x" * 900, "end"]
+    got = [x.tolist() for x in bpe.vocabulary(bpe.vocabulary_path()).encode(texts)]
+    assert got == [reference.encode_ordinary(t or "") for t in texts]
