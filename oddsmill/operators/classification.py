@@ -68,8 +68,8 @@ def best_threshold(df: DataFrame, label: str, p: str, metric: str = "f1", steps:
     grid = df.sparkSession.range(1, steps).select(F.col("id").cast("int").alias("_cell"))
     both = known.select("_cell", y.cast("long").alias("pos"), (1 - y).cast("long").alias("neg")).unionByName(grid.select("_cell", F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg")))
     curve = cumulative(both, "_cell", {"pos": F.col("pos"), "neg": F.col("neg")}, low=0, high=steps)
-    totals = both.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    totals = both.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     c = curve.where(F.col("_cell").between(1, steps - 1)).crossJoin(F.broadcast(totals))  # one row
-    cells = c.select((F.col("_cell") / steps).alias("threshold"), (F.col("P") - F.col("pos_below")).cast("double").alias("tp"), (F.col("N") - F.col("neg_below")).cast("double").alias("fp"), F.col("neg_below").cast("double").alias("tn"), F.col("pos_below").cast("double").alias("fn"))
+    cells = c.select((F.col("_cell") / steps).alias("threshold"), (F.col("all_pos") - F.col("pos_below")).cast("double").alias("tp"), (F.col("all_neg") - F.col("neg_below")).cast("double").alias("fp"), F.col("neg_below").cast("double").alias("tn"), F.col("pos_below").cast("double").alias("fn"))
     scored = derived(cells).select("threshold", F.col(metric).alias("score"))
     return scored.agg(F.max(F.struct("score", (-F.col("threshold")).alias("t"))).alias("b")).select((-F.col("b.t")).alias("threshold"), F.col("b.score").alias("score"))

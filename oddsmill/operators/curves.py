@@ -50,16 +50,16 @@ def cumulative(
 
 
 def roc(df: DataFrame, label: str, p: str, weight: str | None = None, by: list[str] | None = None, **bounds) -> DataFrame:
-    """Per distinct p (and ``by``): pos, neg, their sums below, and totals ``P`` and ``N`` attached."""
+    """Per distinct p (and ``by``): pos, neg, their sums below, and totals ``all_pos`` and ``all_neg`` attached."""
     w = F.col(weight) if weight else F.lit(1)
     y = F.col(label)
     known = df.where(y.isNotNull())
     curve = cumulative(known, p, {"pos": w * y, "neg": w * (1 - y)}, by, **bounds)
     by = by or []
-    totals = known.where(F.col(p).isNotNull()).groupBy(*by).agg(F.sum(w * y).alias("P"), F.sum(w * (1 - y)).alias("N"))
+    totals = known.where(F.col(p).isNotNull()).groupBy(*by).agg(F.sum(w * y).alias("all_pos"), F.sum(w * (1 - y)).alias("all_neg"))
     if not by:
         return curve.crossJoin(F.broadcast(totals))  # one row
-    renamed = totals.select(*[F.col(c).alias(f"_{c}") for c in by], "P", "N")
+    renamed = totals.select(*[F.col(c).alias(f"_{c}") for c in by], "all_pos", "all_neg")
     on = F.lit(True)
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))

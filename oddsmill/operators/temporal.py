@@ -50,9 +50,9 @@ def stability_by_snapshot(df: DataFrame, snapshot: str, score: str, label: str,
     n, below = F.col("pos") + F.col("neg"), F.col("pos_below") + F.col("neg_below")
 
     def captured(parts: int):
-        top = F.greatest(F.floor((F.col("P") + F.col("N")) / parts), F.lit(1))
+        top = F.greatest(F.floor((F.col("all_pos") + F.col("all_neg")) / parts), F.lit(1))
         share = F.least(F.greatest((top - below) / n, F.lit(0.0)), F.lit(1.0))
-        return F.when(F.max("P") > 0, F.sum(share * F.col("pos")) / F.max("P"))
+        return F.when(F.max("all_pos") > 0, F.sum(share * F.col("pos")) / F.max("all_pos"))
 
     caught = curve.groupBy(F.col(snapshot).alias("_s")).agg(captured(10).alias("capture_10"), captured(5).alias("capture_20"))
     return plain.join(caught, F.col(snapshot).eqNullSafe(F.col("_s")), "left").drop("_s")
@@ -61,7 +61,7 @@ def stability_by_snapshot(df: DataFrame, snapshot: str, score: str, label: str,
 def ks_by_snapshot(df: DataFrame, snapshot: str, score: str, label: str) -> DataFrame:
     """snapshot, ks: the greatest lead of the bads over the goods from the lowest score up."""
     curve = roc(df, label, score, by=[snapshot], low=None, high=None)
-    lead = (F.col("pos_below") + F.col("pos")) / F.col("P") - (F.col("neg_below") + F.col("neg")) / F.col("N")
+    lead = (F.col("pos_below") + F.col("pos")) / F.col("all_pos") - (F.col("neg_below") + F.col("neg")) / F.col("all_neg")
     return curve.groupBy(snapshot).agg(F.greatest(F.max(lead), F.lit(0.0)).alias("ks"))
 
 

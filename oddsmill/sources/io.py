@@ -17,11 +17,12 @@ def format_of(path: str) -> str:
 
 def read(spark: SparkSession, path: str, schema: str | None = None, columns: list[str] | None = None, **options) -> DataFrame:
     """A table by the suffix of its path; only the columns asked for are read."""
-    reader = spark.read.format(options.pop("format", None) or format_of(path)).options(**options)
+    name = options.pop("format", None) or format_of(path)
+    if name == "csv":
+        options = {"header": True, "inferSchema": not schema} | options
+    reader = spark.read.format(name).options(**options)
     if schema:
         reader = reader.schema(schema)
-    elif format_of(path) == "csv":
-        reader = reader.option("header", True).option("inferSchema", True)
     df = reader.load(path)
     return df.select(*columns) if columns else df
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def windowed(stream: DataFrame, time: str, value: str, by: list[str], width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """window_start, by, n, total, lowest, highest; rows later than ``late`` are dropped."""
-    g = stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *by)
+    g = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *by)
     out = g.agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.min(value).alias("lowest"), F.max(value).alias("highest"))
     return out.select(F.col("w.start").alias("window_start"), *by, "n", "total", "lowest", "highest")
 
