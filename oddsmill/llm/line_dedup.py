@@ -68,7 +68,7 @@ WITH p AS (
          string_split(replace(regexp_replace(regexp_replace(coalesce(html, ''), '{BLOCK}', chr(10), 'g'), '{INLINE}', '', 'g'), chr(13), chr(10)), chr(10)) AS raw
   FROM pages
 ), c AS (
-  SELECT page_id, host, list_filter(list_transform(raw, x -> trim(replace(x, chr(9), ' '))), x -> x <> '') AS lines FROM p
+  SELECT page_id, host, list_filter(list_transform(raw, lambda x: trim(replace(x, chr(9), ' '))), lambda x: x <> '') AS lines FROM p
 ), t AS (
   SELECT host, count(*) AS n FROM c GROUP BY host
 ), l AS (
@@ -79,7 +79,7 @@ WITH p AS (
 ), d AS (
   SELECT host, list(line) AS gone FROM b GROUP BY host
 ), s AS (
-  SELECT page_id, c.host AS host, lines, CASE WHEN gone IS NULL THEN lines ELSE list_filter(lines, x -> NOT list_contains(gone, x)) END AS stay
+  SELECT page_id, c.host AS host, lines, CASE WHEN gone IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(gone, x)) END AS stay
   FROM c LEFT JOIN d ON d.host = c.host
 )
 SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(stay) AS BIGINT) AS n_dropped,

@@ -242,7 +242,7 @@ ORACLE_SQL = r"""
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
 ), parts AS (
-  SELECT hex, list_transform(range(0, 8), k -> CAST('0x' || substr(hex, CAST(5 * k + 1 AS INT), 5) AS BIGINT)) AS v
+  SELECT hex, list_transform(range(0, 8), lambda k: CAST('0x' || substr(hex, CAST(5 * k + 1 AS INT), 5) AS BIGINT)) AS v
   FROM (SELECT DISTINCT hex FROM p)
 ), digests AS (
   SELECT hex, array_to_string(list_transform(v, x ->
