@@ -245,7 +245,7 @@ WITH p AS (
   SELECT hex, list_transform(range(0, 8), lambda k: CAST('0x' || substr(hex, CAST(5 * k + 1 AS INT), 5) AS BIGINT)) AS v
   FROM (SELECT DISTINCT hex FROM p)
 ), digests AS (
-  SELECT hex, array_to_string(list_transform(v, x ->
+  SELECT hex, array_to_string(list_transform(v, lambda x:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x // 32768) % 32 + 1 AS INT), 1) ||
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x // 1024) % 32 + 1 AS INT), 1) ||
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x // 32) % 32 + 1 AS INT), 1) ||
