@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import bin_of_array, iv_strength
+from .curves import quantiles
+from .stability import quantile_edges
 
 EPSILON = 1e-4
 MISSING, OTHER = "__MISSING__", "__OTHER__"
@@ -22,8 +24,7 @@ def edges(df: DataFrame, column: str, bins: int, method: str = "quantile", custo
     if method == "custom":
         return df.sparkSession.createDataFrame([(sorted(set(map(float, custom or []))),)], "_edges array<double>")
     if method == "quantile":
-        inner = F.percentile(column, [k / bins for k in range(1, bins)])
-        return known.agg(F.array_sort(F.array_distinct(inner)).alias("_edges"))
+        return quantile_edges(known, column, bins)
     if method == "width":
         lo, width = F.min(column), (F.max(column) - F.min(column)) / bins
         return known.agg(F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda k: lo + k * width).alias("_edges"))
@@ -170,12 +171,10 @@ def auto_bins(df: DataFrame, columns: list[str], label: str, prebins: int = 20,
 
     lo and hi number the quantile prebins; features below ``least_iv`` are left out.
     """
-    from .stability import unpivoted
-
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
     long = df.where(F.col(label).isNotNull()).select(F.explode(pairs).alias("p"), F.col(label).alias("_y")).select("p.feature", "p.value", "_y").where("value is not null")
     inner = [k / prebins for k in range(1, prebins)]
-    cut = unpivoted(df.where(F.col(label).isNotNull()), columns).where("value is not null").groupBy(F.col("feature").alias("_f")).agg(F.array_sort(F.array_distinct(F.percentile("value", inner))).alias("_edges"))
+    cut = quantiles(long, "value", inner, ["feature"]).select(F.col("feature").alias("_f"), F.array_sort(F.array_distinct("q")).alias("_edges"))
     binned = long.join(cut, F.col("feature") == F.col("_f")).withColumn("bin", bin_of_array(F.col("value"), F.col("_edges")))
     found = optimal_bins(bin_table(binned, ["feature", "bin"], "_y"), "bin", ["feature"], most).withColumn("non_events", F.col("n") - F.col("events"))
     woe = woe_table(found.drop("event_rate"), ["feature"])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import chi2_tail, clip_probability, logit, sigmoid
+from .stability import quantile_edges, with_quantile_bin
 
 
 def _known(df: DataFrame, label: str, p: str) -> DataFrame:
@@ -29,8 +30,7 @@ def calibration_curve(df: DataFrame, label: str, p: str, bins: int = 10, strateg
     if strategy == "uniform":
         binned = known.withColumn("bin", equal_bins(F.col(p), bins))
     else:
-        edges = known.agg(F.array_distinct(F.percentile(p, [k / bins for k in range(1, bins)])).alias("_edges"))
-        binned = known.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("_edges", lambda e: F.col(p) > e)))  # one row
+        binned = with_quantile_bin(known, quantile_edges(known, p, bins), p)
     return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_p"), F.avg(label).alias("rate"))
 
 

@@ -7,6 +7,8 @@ bucket is summed by itself.  No task holds more than a bucket.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +16,10 @@ from pyspark.sql.window import Window
 BUCKETS = 2048
 
 
+def _same(by: list[str], prefix: str) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in by), F.lit(True))
+
+
 def cumulative(
     df: DataFrame,
     key: str,
@@ -30,8 +36,12 @@ def cumulative(
     by = by or []
     grouped = df.where(F.col(key).isNotNull()).groupBy(*by, key).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     if low is None or high is None:
-        ends = grouped.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-        grouped = grouped.crossJoin(F.broadcast(ends))  # one row
+        ends = grouped.groupBy(*by).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+        if by:
+            ends = ends.select(*[F.col(c).alias(f"_e_{c}") for c in by], "_lo", "_hi")
+            grouped = grouped.join(ends, _same(by, "_e_")).drop(*[f"_e_{c}" for c in by])
+        else:
+            grouped = grouped.crossJoin(F.broadcast(ends))  # one row
         lo, hi = F.col("_lo"), F.col("_hi")
     else:
         lo, hi = F.lit(low), F.lit(high)
@@ -40,9 +50,7 @@ def cumulative(
     totals = placed.groupBy(*by, "_b").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])
     across = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(*[F.col(c).alias(f"_k_{c}") for c in [*by, "_b"]], *[F.coalesce(F.sum(f"_t_{n}").over(across), F.lit(0)).alias(f"_base_{n}") for n in sums])
-    on = F.col("_b") == F.col("_k__b")
-    for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    on = (F.col("_b") == F.col("_k__b")) & _same(by, "_k_")
     inside = Window.partitionBy(*by, "_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     joined = placed.join(bases, on)
     below = [(F.col(f"_base_{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"{n}_below") for n in sums]
@@ -60,7 +68,33 @@ def roc(df: DataFrame, label: str, p: str, weight: str | None = None, by: list[s
     if not by:
         return curve.crossJoin(F.broadcast(totals))  # one row
     renamed = totals.select(*[F.col(c).alias(f"_{c}") for c in by], "all_pos", "all_neg")
-    on = F.lit(True)
-    for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return curve.join(renamed, on).drop(*[f"_{c}" for c in by])
+    return curve.join(renamed, _same(by, "_")).drop(*[f"_{c}" for c in by])
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float], by: list[str] | None = None, out: str = "q") -> DataFrame:
+    """One row per ``by`` with array ``out``: exact quantiles, interpolated between neighbours.
+
+    The built-in exact percentile holds all values of a group in one task;
+    here each rank is looked up on the cumulative curve of distinct values.
+    """
+    by = by or []
+    curve = cumulative(df, column, {"n": F.lit(1)}, by, low=None, high=None)
+    totals = df.where(F.col(column).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_all"))
+    if by:
+        totals = totals.select(*[F.col(c).alias(f"_t_{c}") for c in by], "_all")
+        ranked = curve.join(totals, _same(by, "_t_")).drop(*[f"_t_{c}" for c in by])
+    else:
+        ranked = curve.crossJoin(F.broadcast(totals))  # one row
+    wanted = F.array(*[F.lit(float(s)) for s in shares])
+    place = F.transform(wanted, lambda s: (F.col("_all") - 1) * s)
+    first, last = F.col("n_below"), F.col("n_below") + F.col("n") - 1
+    # shares whose lower or upper neighbour is this value; most values have none
+    hits = F.filter(
+        F.transform(place, lambda h, i: F.struct(i.alias("i"), h.alias("h"), F.floor(h).between(first, last).alias("lo"), F.ceil(h).between(first, last).alias("hi"))),
+        lambda x: x["lo"] | x["hi"],
+    )
+    found = ranked.select(*by, F.col(column).cast("double").alias("_v"), F.explode(hits).alias("_x"))
+    low, high = F.max(F.when(F.col("_x.lo"), F.col("_v"))), F.max(F.when(F.col("_x.hi"), F.col("_v")))
+    h = F.max("_x.h")
+    each = found.groupBy(*by, F.col("_x.i").alias("_i")).agg((low + (h - F.floor(h)) * (high - low)).alias("_q"))
+    return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda x: x["_q"]).alias(out))  # one value a share

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .classification import metrics
+from .curves import quantiles
 from .ranking import auc_table
 
 
@@ -37,19 +38,32 @@ def health(current: DataFrame, baseline: DataFrame, limits: dict[str, float] | N
 
 def prediction_statistics(df: DataFrame, score: str, by: list[str] | None = None, low: float = 300, high: float = 850) -> DataFrame:
     """n, mean, median, std (population), min, max, q25, q75, out_of_range, out_of_range_pct."""
-    q = F.percentile(score, [0.25, 0.5, 0.75])
+    by = by or []
     out = F.count_if((F.col(score) < low) | (F.col(score) > high))
-    return df.groupBy(*(by or [])).agg(
-        F.count(score).alias("n"), F.avg(score).alias("mean"), q[1].alias("median"), F.stddev_pop(score).alias("std"), F.min(score).alias("min"), F.max(score).alias("max"),
-        q[0].alias("q25"), q[2].alias("q75"), out.alias("out_of_range"), (100 * out / F.count(score)).alias("out_of_range_pct"),
+    plain = df.groupBy(*by).agg(
+        F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.min(score).alias("min"), F.max(score).alias("max"),
+        out.alias("out_of_range"), (100 * out / F.count(score)).alias("out_of_range_pct"),
     )
+    q = quantiles(df, score, [0.25, 0.5, 0.75], by)
+    joined = _beside(plain, q, by)
+    return joined.select(*by, "n", "mean", F.col("q")[1].alias("median"), "std", "min", "max", F.col("q")[0].alias("q25"), F.col("q")[2].alias("q75"), "out_of_range", "out_of_range_pct")
+
+
+def _beside(plain: DataFrame, q: DataFrame, by: list[str]) -> DataFrame:
+    """Statistics with the quantiles of the same groups."""
+    if not by:
+        return plain.join(q, F.lit(True), "left")  # one row each
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_q_{c}"))
+    return plain.join(q.select(*[F.col(c).alias(f"_q_{c}") for c in by], "q"), on, "left")
 
 
 def anomalies(df: DataFrame, score: str, method: str = "iqr", threshold: float = 1.5) -> DataFrame:
     """Rows beyond the quartiles by ``threshold`` ranges, or beyond ``threshold`` population deviations of the mean."""
     if method == "iqr":
-        q = F.percentile(score, [0.25, 0.75])
-        bounds = df.agg((q[0] - threshold * (q[1] - q[0])).alias("_lo"), (q[1] + threshold * (q[1] - q[0])).alias("_hi"))
+        a, b = F.col("q")[0], F.col("q")[1]
+        bounds = quantiles(df, score, [0.25, 0.75]).select((a - threshold * (b - a)).alias("_lo"), (b + threshold * (b - a)).alias("_hi"))
     elif method == "zscore":
         bounds = df.agg((F.avg(score) - threshold * F.stddev_pop(score)).alias("_lo"), (F.avg(score) + threshold * F.stddev_pop(score)).alias("_hi"))
     else:
@@ -75,11 +89,10 @@ def alert_summary(state: DataFrame, severity: str = "severity", status: str = "s
 
 def histogram_metrics(df: DataFrame, name: str, value: str) -> DataFrame:
     """name, count, sum, mean, median, min, max, p50, p95, p99: counters, gauges and timers alike."""
-    q = F.percentile(value, [0.5, 0.95, 0.99])
-    return df.groupBy(name).agg(
-        F.count(value).alias("count"), F.sum(value).alias("sum"), F.avg(value).alias("mean"), q[0].alias("median"), F.min(value).alias("min"), F.max(value).alias("max"),
-        q[0].alias("p50"), q[1].alias("p95"), q[2].alias("p99"),
-    )
+    plain = df.groupBy(name).agg(F.count(value).alias("count"), F.sum(value).alias("sum"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    joined = _beside(plain, quantiles(df, value, [0.5, 0.95, 0.99], [name]), [name])
+    q = F.col("q")
+    return joined.select(name, "count", "sum", "mean", q[0].alias("median"), "min", "max", q[0].alias("p50"), q[1].alias("p95"), q[2].alias("p99"))
 
 
 def prometheus(histograms: DataFrame, name: str, prefix: str = "oddsmill") -> DataFrame:

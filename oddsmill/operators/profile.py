@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.numeric import chi2_tail, t_two_sided
+from .curves import quantiles
 from .stability import unpivoted
 
 
@@ -23,12 +24,13 @@ def validation(df: DataFrame, columns: list[str] | None = None, weight: str | No
     w = F.col(weight) if weight else F.lit(1.0)
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
     long = df.select(F.explode(pairs).alias("p"), w.alias("_w")).select("p.feature", "p.value", "_w")
-    q = F.percentile("value", [0.01, 0.99])
     out = long.groupBy("feature").agg(
         (F.sum(F.when(F.col("value").isNull(), F.col("_w")).otherwise(0.0)) / F.sum("_w")).alias("missing_rate"),
         F.count_distinct("value").alias("n_unique"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), q[0].alias("p01"), q[1].alias("p99"),
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
     )
+    ends = quantiles(long, "value", [0.01, 0.99], ["feature"])
+    out = out.join(ends, "feature", "left").select("feature", "missing_rate", "n_unique", "min", "max", "mean", "std", F.col("q")[0].alias("p01"), F.col("q")[1].alias("p99"))
     zero = F.col("n_unique") <= 1
     status = F.when((F.col("missing_rate") > fail_missing) | zero, "FAIL").when(F.col("missing_rate") > most_missing, "WARN").otherwise("PASS")
     return out.withColumn("zero_variance", zero).withColumn("status", status)
@@ -37,14 +39,17 @@ def validation(df: DataFrame, columns: list[str] | None = None, weight: str | No
 def univariate_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """feature, n, missing, n_unique, mean, std, min, q25, median, q75, max, skewness, kurtosis (both bias-corrected)."""
     n = F.count("value").cast("double")
-    q = F.percentile("value", [0.25, 0.5, 0.75])
     skew = F.when((n > 2) & (F.var_pop("value") > 0), F.skewness("value") * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when((n > 3) & (F.var_pop("value") > 0), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis("value") + 6))
-    return unpivoted(df, columns).groupBy("feature").agg(
+    long = unpivoted(df, columns)
+    plain = long.groupBy("feature").agg(
         F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("missing"), F.count_distinct("value").alias("n_unique"),
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), q[0].alias("q25"), q[1].alias("median"),
-        q[2].alias("q75"), F.max("value").alias("max"), skew.alias("skewness"), kurt.alias("kurtosis"),
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
+        F.max("value").alias("max"), skew.alias("skewness"), kurt.alias("kurtosis"),
     )
+    q = quantiles(long, "value", [0.25, 0.5, 0.75], ["feature"])
+    quarters = [F.col("q")[i].alias(name) for i, name in enumerate(("q25", "median", "q75"))]
+    return plain.join(q, "feature", "left").select("feature", "n", "missing", "n_unique", "mean", "std", "min", *quarters, "max", "skewness", "kurtosis")
 
 
 def univariate_categorical(df: DataFrame, columns: list[str], top: int = 5) -> DataFrame:

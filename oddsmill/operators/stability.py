@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import bin_of_array, equal_width_bin, ks_tail, psi_status, psi_term
-from .curves import cumulative
+from .curves import cumulative, quantiles
 
 #: What an empty share counts as.
 FLOOR = 1e-4
@@ -37,7 +37,7 @@ def psi(expected: DataFrame, actual: DataFrame, key: str, floor: float = FLOOR)
 def quantile_edges(df: DataFrame, column: str, bins: int) -> DataFrame:
     """One row: the distinct inner quantiles, ascending."""
     inner = [k / bins for k in range(1, bins)]
-    return df.agg(F.array_sort(F.array_distinct(F.percentile(column, inner))).alias("_edges"))
+    return quantiles(df, column, inner).select(F.array_sort(F.array_distinct("q")).alias("_edges"))
 
 
 def with_quantile_bin(df: DataFrame, edges: DataFrame, column: str, out: str = "bin") -> DataFrame:
@@ -73,7 +73,7 @@ def psi_all(expected: DataFrame, actual: DataFrame, columns: list[str], bins: in
     """feature, psi, status of numeric columns by quantiles of the expected side, in one job."""
     e, a = unpivoted(expected, columns).where("value is not null"), unpivoted(actual, columns).where("value is not null")
     inner = [k / bins for k in range(1, bins)]
-    edges = e.groupBy(F.col("feature").alias("_f")).agg(F.array_sort(F.array_distinct(F.percentile("value", inner))).alias("_edges"))
+    edges = quantiles(e, "value", inner, ["feature"]).select(F.col("feature").alias("_f"), F.array_sort(F.array_distinct("q")).alias("_edges"))
 
     def side(d: DataFrame, name: str) -> DataFrame:
         binned = d.join(edges, F.col("feature") == F.col("_f")).withColumn("bin", bin_of_array(F.col("value"), F.col("_edges")))
@@ -115,11 +115,10 @@ def ks_test(expected: DataFrame, actual: DataFrame, column: str) -> dict:
 
 def reference_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     """feature, mean, std, min, max, median, q25, q75."""
-    q = F.percentile("value", [0.25, 0.5, 0.75])
-    return unpivoted(df, columns).groupBy("feature").agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-        q[1].alias("median"), q[0].alias("q25"), q[2].alias("q75"),
-    )
+    long = unpivoted(df, columns)
+    q = quantiles(long, "value", [0.25, 0.5, 0.75], ["feature"])
+    plain = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return plain.join(q, "feature", "left").select("feature", "mean", "std", "min", "max", F.col("q")[1].alias("median"), F.col("q")[0].alias("q25"), F.col("q")[2].alias("q75"))
 
 
 def drift_report(reference: DataFrame, current: DataFrame, columns: list[str], limit: float = 0.1) -> DataFrame:
