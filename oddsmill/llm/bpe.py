@@ -8,8 +8,8 @@ Decoding gathers the tokens' bytes to their offsets in one vectorised step.
 Defined results: null text is an empty text, which has no tokens and decodes
 to no bytes; special tokens are ordinary text; repeated rows are encoded like
 any other; an empty table gives an empty result; columns of the input pass
-through ``encode`` and ``decode`` unless they bear the name of an output, which
-is refused.  A long text is scanned in bounded parts; what grows with it is
+through ``encode`` and ``decode``, but one that bears the name of an output is
+replaced.  A long text is scanned in bounded parts; what grows with it is
 its own row.
 """
 
@@ -150,14 +150,17 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, kind))
 
 
-def _new(df: DataFrame, *names: str) -> None:
-    if taken := [n for n in names if n in df.columns]:
-        raise ValueError(f"columns exist already: {taken}")
+def _without(df: DataFrame, *outputs: str) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.lower() in outputs])
+
+
+def _with(df: DataFrame, more: str) -> T.StructType:
+    return T.StructType(df.schema.fields + T.StructType.fromDDL(more).fields)
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``token_ids`` and ``token_offsets`` (byte offsets), both array<int>."""
-    _new(docs, "token_ids", "token_offsets")
+    docs = _without(docs, "token_ids", "token_offsets")
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
@@ -172,13 +175,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _with(df: DataFrame, more: str) -> T.StructType:
-    return T.StructType(df.schema.fields + T.StructType.fromDDL(more).fields)
-
-
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """``tokens`` (with token_ids and token_offsets) with ``decoded``, the bytes of the tokens."""
-    _new(tokens, "decoded")
+    tokens = _without(tokens, "decoded")
     small_batches(tokens.sparkSession)
     a, b = tokens.columns.index("token_ids"), tokens.columns.index("token_offsets")
 
