@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..functions import numeric as N
+from ..operators.curves import quantiles
 
 
 def _over(c: Column, w: WindowSpec | None) -> Column:
@@ -117,6 +119,17 @@ def in_window(df: DataFrame, time: str, window: str | None) -> DataFrame:
     return df.crossJoin(F.broadcast(latest)).where(F.col(time) >= F.col("_latest") - F.expr(f"interval {n} months")).drop("_latest")  # one row
 
 
+def aggregated(source: DataFrame, keys: list[str], operation: str, x: str, t: Column | None, out: str) -> DataFrame:
+    """keys and one aggregate; medians come from the cumulative curve, so a large group is never held in one task."""
+    if operation == "median":
+        return quantiles(source, x, [0.5], keys).select(*keys, F.col("q")[0].alias(out))
+    return source.groupBy(*keys).agg(AGGREGATIONS[operation](F.col(x), t, None).alias(out))
+
+
+def _same(keys, prefix: str) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys), F.lit(True))
+
+
 def _filled(df: DataFrame, r: Recipe, plan: Plan) -> tuple[DataFrame, list[Column]]:
     """Inputs of a recipe with missing values handled; statistics are joined, never collected."""
     x = [F.col(c) for c in r.columns]
@@ -127,17 +140,11 @@ def _filled(df: DataFrame, r: Recipe, plan: Plan) -> tuple[DataFrame, list[Colum
     if r.missing in ("zero", "constant"):
         value = F.lit(0.0 if r.missing == "zero" else float(r.missing_value or 0))
         return df, [F.coalesce(c.cast("double"), value) for c in x]
-    how = AGGREGATIONS[r.missing]
     keys = list(plan.group) if r.scope == "group" else []
-    stats = df.groupBy(*keys).agg(*[how(c, None, None).alias(f"_s{i}") for i, c in enumerate(x)])
-    if keys:
-        stats = stats.select(*[F.col(k).alias(f"_k{k}") for k in keys], *[f"_s{i}" for i in range(len(x))])
-        on = F.lit(True)
-        for k in keys:
-            on = on & F.col(k).eqNullSafe(F.col(f"_k{k}"))
-        df = df.join(stats, on, "left")
-    else:
-        df = df.crossJoin(F.broadcast(stats))  # one row
+    for i, c in enumerate(r.columns):
+        source = df.select(*[F.col(k).alias(f"_k{i}{k}") for k in keys], F.col(c).alias("_x"))
+        stats = aggregated(source, [f"_k{i}{k}" for k in keys], r.missing, "_x", None, f"_s{i}")
+        df = df.join(stats, _same(keys, f"_k{i}"), "left") if keys else df.join(F.broadcast(stats), F.lit(True), "left")  # one row
     return df, [F.coalesce(c.cast("double"), F.col(f"_s{i}")) for i, c in enumerate(x)]
 
 
@@ -165,30 +172,54 @@ def _scalar(r: Recipe, x: list[Column]) -> Column:
     raise ValueError(f"unknown operation: {r.operation}")
 
 
+def _runs(recipes: list[Recipe]) -> list[list[Recipe]]:
+    """Neighbouring aggregations over the same window that need nothing of each other, together; the rest alone."""
+    out: list[list[Recipe]] = []
+    for r in recipes:
+        plain = r.operation in AGGREGATIONS and r.missing == "keep" and not r.flag_missing
+        last = out[-1] if out else []
+        joins = plain and last and last[0].operation in AGGREGATIONS and last[0].missing == "keep" and not last[0].flag_missing and last[0].window == r.window
+        if joins and not {*r.columns, *r.depends_on} & {x.name for x in last}:
+            last.append(r)
+        else:
+            out.append([r])
+    return out
+
+
+def _aggregates(df: DataFrame, run: list[Recipe], inputs: list[Column], plan: Plan) -> DataFrame:
+    """``df`` with the features of a run: one aggregation of all of them, one join."""
+    t = F.col(plan.time) if plan.time else None
+    if t is None and (needy := [r.name for r in run if r.operation in ("first", "last")]):
+        raise ValueError(f"{needy[0]}: first and last need a time column")
+    keys = [f"_g{g}" for g in plan.group]
+    source = df.select(*[F.col(g).alias(f"_g{g}") for g in plan.group], *([t] if plan.time else []), *[x.alias(f"_x{i}") for i, x in enumerate(inputs)])
+    if run[0].window and plan.time:
+        source = in_window(source, plan.time, run[0].window)
+    exprs = [AGGREGATIONS[r.operation](F.col(f"_x{i}"), t, None).alias(r.name) for i, r in enumerate(run) if r.operation != "median"]
+    agg = source.groupBy(*keys).agg(*exprs) if exprs else None
+    for i, r in enumerate(run):
+        if r.operation == "median":
+            m = aggregated(source, keys, "median", f"_x{i}", t, r.name)
+            if agg is None:
+                agg = m
+            else:
+                renamed = m.select(*[F.col(k).alias(f"_m{k}") for k in keys], r.name)
+                agg = agg.join(renamed, _same(keys, "_m"), "left").drop(*[f"_m{k}" for k in keys])
+    return df.join(agg, _same(plan.group, "_g"), "left") if plan.group else df.join(F.broadcast(agg), F.lit(True), "left")  # one row
+
+
 def build_features(df: DataFrame, plan: Plan) -> DataFrame:
     """``df`` with a column for each recipe.
 
     Aggregations over all time of a group are joined back by its keys; with a
     window only rows in it count, and groups without any get NULL.
     """
-    for r in ordered(plan.recipes):
+    for run in _runs(ordered(plan.recipes)):
         before = df.columns
+        r = run[0]
         df, x = _filled(df, r, plan)
         if r.operation in AGGREGATIONS:
-            t = F.col(plan.time) if plan.time else None
-            if r.operation in ("first", "last") and t is None:
-                raise ValueError(f"{r.name}: {r.operation} needs a time column")
-            source = df.select(*[F.col(g).alias(f"_g{g}") for g in plan.group], *([F.col(plan.time)] if plan.time else []), x[0].alias("_x"))
-            if r.window and plan.time:
-                source = in_window(source, plan.time, r.window)
-            agg = source.groupBy(*[f"_g{g}" for g in plan.group]).agg(AGGREGATIONS[r.operation](F.col("_x"), t, None).alias(r.name))
-            if plan.group:
-                on = F.lit(True)
-                for g in plan.group:
-                    on = on & F.col(g).eqNullSafe(F.col(f"_g{g}"))
-                df = df.join(agg, on, "left")
-            else:
-                df = df.crossJoin(F.broadcast(agg))  # one row
+            df = _aggregates(df, run, [x[0], *(F.col(o.columns[0]) for o in run[1:])], plan)
         elif r.operation == "bin" and isinstance(r.params.get("bins", 10), int):
             bins = r.params.get("bins", 10)
             ends = df.agg(F.min(x[0]).alias("_lo"), F.max(x[0]).alias("_hi"))
@@ -196,7 +227,7 @@ def build_features(df: DataFrame, plan: Plan) -> DataFrame:
         else:
             df = df.withColumn(r.name, _scalar(r, x))
         flags = [c for c in df.columns if c.endswith("__is_missing") and c not in before]
-        df = df.select(*before, *flags, r.name)
+        df = df.select(*before, *flags, *[o.name for o in run])
     return df
 
 
