@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from ..operators import binning, calibration, classification, compression, encoding, monitoring, models, profile, ranking, stability, temporal, trends
-from ..operators import governance
+from ..operators import binning, calibration, classification, compression, encoding, evaluation, governance, models, monitoring, profile, ranking, scorecard, stability, temporal, trends
+from ..sources import io
 from .recipes import Plan, Recipe, build_features
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -922,3 +922,64 @@ def train_test_split(spark, sf_dir):
 @query("SELECT CASE WHEN o_orderdate < TIMESTAMP '2000-01-01' THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM orders GROUP BY 1")
 def time_split(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(governance.time_split("o_orderdate", "2000-01-01").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- whole cards and reports -----------------------------------------------------------------------
+
+
+@query()
+def scorecard_pipeline(spark, sf_dir):
+    t = _training(spark, sf_dir)
+    card = scorecard.Scorecard.fit(t, _MODEL, "y")
+    scored = card.score(t.select(*_MODEL, "y")).withColumn("band", F.floor(F.col("score") / 50))
+    return rounded(scored.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("bad_rate")), 3)
+
+
+@query(f"""WITH {CURVE}, {_CAL.replace(APPS + ',', '').strip()}, {_CELLS.replace(APPS + ',', '').strip()},
+a AS (SELECT sum(pos * (nb + neg / 2.0)) / (max(tp) * max(tn)) AS auc, max((tp - pb) / CAST(tp AS DOUBLE) - (tn - nb) / CAST(tn AS DOUBLE)) AS ks, greatest(1 - min(tn - nb + pb) / CAST(least(max(tp), max(tn)) AS DOUBLE), 0) AS h FROM c),
+s AS (SELECT avg((p - y) * (p - y)) AS brier, -avg(y * ln(p) + (1 - y) * ln(1 - p)) AS ll FROM apps), e AS (SELECT sum(n * abs(mean_p - rate)) / sum(n) AS ece, max(abs(mean_p - rate)) AS mce FROM b),
+r AS (SELECT 'auc' AS metric, auc AS value FROM a UNION ALL SELECT 'gini', 2 * auc - 1 FROM a UNION ALL SELECT 'ks', ks FROM a UNION ALL SELECT 'h_measure', h FROM a UNION ALL SELECT 'accuracy', (tp + tn) / (tp + fp + tn + fn) FROM m UNION ALL SELECT 'precision', tp / (tp + fp) FROM m
+UNION ALL SELECT 'recall', tp / (tp + fn) FROM m UNION ALL SELECT 'f1', 2 * tp / (2 * tp + fp + fn) FROM m UNION ALL SELECT 'mcc', (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) FROM m
+UNION ALL SELECT 'brier', brier FROM s UNION ALL SELECT 'log_loss', ll FROM s UNION ALL SELECT 'ece', ece FROM e UNION ALL SELECT 'mce', mce FROM e)
+SELECT metric, round(value, 6) AS value, CASE WHEN metric = 'auc' THEN CASE WHEN value >= 0.9 THEN 'excellent' WHEN value >= 0.8 THEN 'good' WHEN value >= 0.7 THEN 'fair' WHEN value >= 0.6 THEN 'poor' ELSE 'very poor' END
+WHEN metric = 'gini' THEN CASE WHEN value >= 0.6 THEN 'strong' WHEN value >= 0.4 THEN 'moderate' WHEN value >= 0.2 THEN 'weak' ELSE 'very poor' END
+WHEN metric = 'ks' THEN CASE WHEN value >= 0.4 THEN 'strong' WHEN value >= 0.3 THEN 'moderate' WHEN value >= 0.2 THEN 'weak' ELSE 'very poor' END
+WHEN metric = 'brier' THEN CASE WHEN value < 0.1 THEN 'good' WHEN value < 0.2 THEN 'fair' ELSE 'poor' END END AS grade FROM r""")
+def evaluation_report(spark, sf_dir):
+    return rounded(evaluation.evaluation_report(apps(spark, sf_dir), "y", "p"))
+
+
+@query()
+def model_comparison(spark, sf_dir):
+    a = _FIXED.score(_training(spark, sf_dir), "linear").withColumn("other", F.col("l_discount") * 10)
+    return rounded(evaluation.compare_models(a, "y", ["linear", "other"]))
+
+
+@query(f"""WITH {APPS}, e AS (SELECT list_distinct(quantile_cont(l_extendedprice, [0.2, 0.4, 0.6, 0.8])) AS q FROM apps)
+SELECT CAST(len(list_filter(q, lambda x: l_extendedprice > x)) AS INT) AS bin, count(*) AS n, CAST(sum(y) AS BIGINT) AS events, round(avg(y), 6) AS event_rate FROM apps CROSS JOIN e GROUP BY 1""")
+def score_bands_observed(spark, sf_dir):
+    a = apps(spark, sf_dir)
+    t = binning.bin_table(stability.with_quantile_bin(a, stability.quantile_edges(a, "l_extendedprice", 5), "l_extendedprice"), ["bin"], "y")
+    return rounded(t.select("bin", "n", "events", (F.col("events") / F.col("n")).alias("event_rate")))
+
+
+@query(f"""WITH {_SIDES}, q AS (SELECT list_distinct(quantile_cont(l_extendedprice, [0.2, 0.4, 0.6, 0.8])) AS q FROM ex),
+e AS (SELECT CAST(len(list_filter(q, lambda x: l_extendedprice > x)) AS INT) AS b, avg(y) AS s FROM ex CROSS JOIN q GROUP BY 1), a AS (SELECT CAST(len(list_filter(q, lambda x: l_extendedprice > x)) AS INT) AS b, avg(y) AS s FROM ac CROSS JOIN q GROUP BY 1), {_PSI}
+SELECT b AS bin, round(e, 6) AS expected, round(a, 6) AS actual, round((a - e) * ln(a / e), 6) AS csi FROM k""")
+def csi_by_score(spark, sf_dir):
+    ex, ac = _sides(spark, sf_dir)
+    cut = stability.quantile_edges(ex, "l_extendedprice", 5)
+    place = lambda d: stability.with_quantile_bin(d, cut, "l_extendedprice").select("bin", "y")
+    return rounded(stability.csi(place(ex), place(ac), "bin", "y"))
+
+
+@query()
+def adverse_notices(spark, sf_dir):
+    li = _FIXED.score(table(spark, sf_dir, "lineitem").select(*_KEYS, *_MODEL))
+    out = models.reason_codes(li, dict(zip(_MODEL, _FIXED.coefficients, strict=True)), "p", 2.0, {f: f"RC{i:02d}" for i, f in enumerate(_MODEL, 1)})
+    return models.adverse_notice(out, "l_orderkey", "p")
+
+
+@query("SELECT 'not_null:o_custkey' AS \"check\", CAST(0 AS BIGINT) AS n_bad, true AS ok UNION ALL SELECT 'type:o_orderkey', 0, true UNION ALL SELECT 'type:o_totalprice', 0, true")
+def source_contract(spark, sf_dir):
+    return io.contract(table(spark, sf_dir, "orders"), {"o_orderkey": "bigint", "o_totalprice": "double"}, ["o_custkey"])

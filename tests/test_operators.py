@@ -213,3 +213,29 @@ def test_wilson(spark):
 def test_temporal_ks_is_not_negative(spark):
     df = spark.createDataFrame([("a", 1.0, 0), ("a", 2.0, 1), ("b", 1.0, 1), ("b", 2.0, 0)], "s string, x double, y int")
     assert {r.s: r.ks for r in temporal.ks_by_snapshot(df, "s", "x", "y").collect()} == {"a": 0.0, "b": 1.0}
+
+
+def test_scorecard_from_rows_to_points(spark):
+    from oddsmill.operators.evaluation import evaluation_report
+    from oddsmill.operators.scorecard import Scorecard
+
+    rnd = random.Random(5)
+    rows = [(x := rnd.gauss(0, 1), rnd.gauss(0, 1), int(rnd.random() < 1 / (1 + math.exp(-2 * x)))) for _ in range(3000)]
+    df = spark.createDataFrame([*rows, (None, None, 1)], "x double, noise double, y int")
+    card = Scorecard.fit(df, ["x", "noise"], "y", pdo=40)
+    assert card.bins[0].feature == "x" and card.bins[0].iv > 0.5 and len(card.bins[0].woe) <= 5
+    scored = card.score(df)
+    auc = ranking.auc_table(scored.where("x is not null"), "y", "p").first()["auc"]
+    assert auc > 0.8 and scored.where("score is null").count() == 0
+    assert {r.metric: r.grade for r in evaluation_report(scored, "y", "p").collect()}["auc"] in ("good", "excellent")
+    assert '"pdo": 40' in card.spec()
+    with pytest.raises(ValueError):
+        Scorecard.fit(df.withColumn("one", F.lit(1.0)), ["one"], "y")
+
+
+def test_plan_facts(spark):
+    from oddsmill.plans import execution
+
+    df = spark.range(10).groupBy((F.col("id") % 3).alias("k")).count()
+    assert execution.facts(df)["exchanges"] >= 1 and execution.hints(df) == [] and execution.timed(df) > 0
+    assert execution.partitions_for(0) == 1 and execution.partitions_for(1 << 30) == 8
