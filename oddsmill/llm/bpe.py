@@ -31,7 +31,7 @@ from ._common import small_batches
 from .pretokens import Coder
 
 #: Pieces remembered, and the longest that is.
-CACHE_PIECES, CACHE_BYTES = 300_000, 64
+CACHE_PIECES, CACHE_BYTES = 400_000, 64
 #: Pieces longer than this are merged with a heap.
 _LONG = 200
 

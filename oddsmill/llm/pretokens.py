@@ -240,7 +240,12 @@ def distinct(raw: bytes, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.n
     tail = np.where(size > 8, window[b], np.uint64(0))
     mix = (head ^ (tail * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F) + size.astype(np.uint64)
     mix ^= mix >> np.uint64(31)
-    _, at, number = np.unique(mix, return_index=True, return_inverse=True)
+    order = np.argsort(mix)
+    ranked = mix[order]
+    new = np.ones(len(mix), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    at, number = order[new], np.empty(len(mix), np.int64)
+    number[order] = np.cumsum(new) - 1
     like = at[number]
     odd = np.flatnonzero((size > 16) | (head != head[like]) | (tail != tail[like]) | (size != size[like]))
     number[odd] = len(at) + np.arange(len(odd))
@@ -267,16 +272,15 @@ class Coder:
         packed = list(map(self.known.get, wanted))
         gaps = [i for i, x in enumerate(packed) if x is None]
         if gaps:
-            missing = []
-            for i in gaps:
-                packed[i] = self.older.get(wanted[i])
-                if packed[i] is None:
-                    missing.append(i)
-            for i, ids in zip(missing, self.learn([wanted[i] for i in missing]), strict=True):
+            keys = [wanted[i] for i in gaps]
+            found = list(map(self.older.get, keys))
+            missing = [j for j, x in enumerate(found) if x is None]
+            for j, ids in zip(missing, self.learn([keys[j] for j in missing]), strict=True):
+                found[j] = ids
+            for i, ids in zip(gaps, found, strict=True):
                 packed[i] = ids
-            for i in gaps:
-                if len(wanted[i]) <= self.longest:
-                    self.known[wanted[i]] = packed[i]
+            pairs = zip(keys, found, strict=True)
+            self.known.update(pairs if max(map(len, keys)) <= self.longest else ((k, v) for k, v in pairs if len(k) <= self.longest))
             if len(self.known) > self.most:
                 self.known, self.older = {}, self.known
         return packed

@@ -38,7 +38,7 @@ from .pretokens import Coder
 
 END_ID = 2
 #: Words strung together for one call of the library.
-STRING = 500
+STRING = 2000
 #: Rows between two entries of a row index, and bytes of a stripe before compression.
 INDEX_ROWS, STRIPE_BYTES = 1000, 16 << 20
 
@@ -61,7 +61,8 @@ class Pieces(Coder):
         out: list[bytes] = [b""] * len(missing)
         plain, other = [], []
         for i, piece in enumerate(missing):
-            (plain if piece[0] == 0x20 and piece.decode("utf-8", "replace")[1:].isalpha() else other).append(i)
+            word = piece[1:]
+            (plain if piece[0] == 0x20 and (word.isalpha() or word.decode("utf-8", "replace").isalpha()) else other).append(i)
         # words led by a blank stay pieces when strung together, so one call encodes many
         for at in range(0, len(plain), STRING):
             own = plain[at : at + STRING]
@@ -107,7 +108,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_i
     ordered = docs.select(id_col, text_col).repartitionByRange(F.col(id_col)).sortWithinPartitions(F.col(id_col), F.xxhash64(text_col))
     tokens = ordered.mapInArrow(run, f"doc_id {kind}, shard int, local_start long, n_tokens long, ids array<int>")
     (
-        tokens.write.option("compression", "zstd")
+        tokens.write.option("compression", "snappy")
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", str(INDEX_ROWS))
         .option("orc.stripe.size", str(STRIPE_BYTES))
