@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+import zipfile
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 ARROW_BATCH_BYTES = 8 << 20
 
 _own_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,8 +70,23 @@ def cleanup(spark: SparkSession) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once an application, so that they need no path of the driver's."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    if sc.applicationId in _shipped or not root.is_dir():  # a package inside an archive has been sent already
+        return
+    archive = Path(tempfile.mkdtemp(prefix="code-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
 def small_batches(spark: SparkSession, most: int = ARROW_BATCH_BYTES) -> None:
-    """Bound the Arrow batches of this session by bytes; rows never change, only how they are cut."""
+    """Ready a session for Python stages: code sent, Arrow batches bounded by bytes (rows never change, only how they are cut)."""
+    ship_code(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key)
     if _bytes(now) > most or _bytes(now) <= 0:
