@@ -159,7 +159,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows repeated whole leave one.
     """
-    rows = grouped(docs, id_col, text_col)
+    return heads_of(docs, grouped(docs, id_col, text_col), id_col, text_col)
+
+
+def heads_of(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The first row of ``docs`` of each root; ``rows`` has doc_id, text_key and root."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("text_key").alias("key")))
     heads = materialize(rows.groupBy("root").agg(best.alias("b")).select(F.col("b.id").alias("_id"), F.col("b.key").alias("_key")), "simhash-heads")
     keyed = docs.withColumn("_text_key", F.xxhash64(text_col))
