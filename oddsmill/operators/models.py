@@ -143,20 +143,24 @@ def drop_column_importance(df: DataFrame, model: Logistic, label: str) -> DataFr
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def permutation_importance(df: DataFrame, model: Logistic, label: str, repeats: int = 3, seed: int = 42) -> DataFrame:
+def permutation_importance(df: DataFrame, model: Logistic, label: str, keys: list[str], repeats: int = 3, seed: int = 42) -> DataFrame:
     """feature, importance: the mean fall in AUC when a feature's values change rows.
 
-    Values move along a hash-ordered ring within hash buckets of rows, so a column keeps its distribution without a global sort.
+    Values move along a ring ordered by a hash of the seed and ``keys``, columns that tell rows apart and say nothing of
+    their values.  Rings lie within hash buckets of about a thousand rows, so a column keeps its distribution without a
+    global sort.  Values only order rows of equal keys, so that reruns agree.
     """
     base = auc_table(model.score(df), label, "p").first()["auc"]
+    buckets = max(1, df.count() // 1000)
     rows = []
     for f in model.features:
         falls = []
         for k in range(repeats):
-            key = F.xxhash64(F.lit(seed + k), *[F.col(x) for x in model.features], F.col(label))
-            bucket = Window.partitionBy(F.pmod(key, F.lit(1024)))
-            ring = F.coalesce(F.lead(f).over(bucket.orderBy(F.xxhash64(key))), F.first(f).over(bucket.orderBy(F.xxhash64(key))))
-            falls.append(base - auc_table(model.score(df.withColumn(f, ring)), label, "p").first()["auc"])
+            key = F.xxhash64(F.lit(seed + k), *[F.col(x) for x in keys])
+            ring = Window.partitionBy(F.pmod(key, F.lit(buckets))).orderBy(F.xxhash64(key), *keys, *model.features, label)
+            value = F.struct(F.col(f).alias("x"))  # a missing value moves like any other
+            moved = F.coalesce(F.lead(value).over(ring), F.first(value).over(ring))["x"]
+            falls.append(base - auc_table(model.score(df.withColumn(f, moved)), label, "p").first()["auc"])
         rows.append((f, sum(falls) / len(falls)))
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 

@@ -855,7 +855,7 @@ def drop_column_importance(spark, sf_dir):
 
 @query()
 def permutation_importance(spark, sf_dir):
-    return rounded(models.permutation_importance(_training(spark, sf_dir), _FIXED, "y", repeats=1))
+    return rounded(models.permutation_importance(_training(spark, sf_dir), _FIXED, "y", _KEYS, repeats=1))
 
 
 @query()
