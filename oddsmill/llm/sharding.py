@@ -1,16 +1,20 @@
 """Sharding by balanced label propagation.
 
 Documents are linked when their texts are equal.  They start on shards by
-hash; then, round after round, each group of linked documents looks at the
-shards its members are on, and members move towards the shard that most of
-them share, as far as that shard's quota has room.  Members of a group on one
-shard are alike, so rounds work on cells (group, shard, members): a group of a
-third of all documents is at most as many rows as there are shards.  Unlinked
-documents have no neighbours and fill what is left, which makes counts exact.
-
-The law is ``rows``: counts of shards differ by at most one.  A group larger
-than a shard is split over as few shards as its quotas allow; every other cut
-is a group for which a full shard had no room.
+hash, and a group's members vote for the shards they are on.  Round after
+round each group that has no shard yet aims at the shard with the most votes
+times free quota among those that have room for all of it, or, where none of
+its own has, at any shard, drawn in proportion to room.  Who finds the shard
+full moves on together in the next round.  A group is one row, its votes at
+most one entry a shard.  Groups of a ``LARGE``-th of a shard or more, of which
+there are at most ``LARGE`` times as many as shards, choose first, largest
+first.  Unlinked documents have no neighbours and fill what is left, which
+makes counts exact.
+
+The law is ``rows``: counts of shards differ by at most one.  A large group no
+shard has room for takes the shards with most room, so a group larger than a
+shard is split over as few shards as its turn allows.  What has no shard after
+the last round fills the gaps in one line, cut only where a gap ends.
 
 Defined results: null text has no bytes (size 16) and is linked with empty
 texts; repeated rows are documents of their own; null ids are ordered last
@@ -27,47 +31,79 @@ from pyspark.sql.window import Window
 from ._common import discard, materialize, running
 
 LAW = "rows"
-
-
-def _quota(total: int, shards: int, shard: Column) -> Column:
-    return F.lit(total // shards).cast("long") + (shard < total % shards).cast("long")
-
-
-def _aimed(cells: DataFrame) -> DataFrame:
-    """Cells with ``best``, the shard that holds most of their group (of equals, one drawn by hash)."""
-    vote = F.struct("n", F.xxhash64("g1", "g2", "shard").alias("h"), "shard")
-    best = cells.groupBy(F.col("g1").alias("_g1"), F.col("g2").alias("_g2")).agg(F.max(vote).alias("b")).select("_g1", "_g2", F.col("b.shard").alias("best"))
-    return cells.join(best, (F.col("g1") == F.col("_g1")) & (F.col("g2") == F.col("_g2"))).drop("_g1", "_g2")
-
-
-def _moved(cells: DataFrame, total: int, shards: int) -> tuple[DataFrame, int]:
-    """One round: (cells after it, documents moved)."""
-    aimed = materialize(_aimed(cells), "shard-aims")
-    loads = aimed.where("shard = best").groupBy(F.col("shard").alias("_to")).agg(F.sum("n").alias("_load"))
-    every = cells.sparkSession.range(shards).select(F.col("id").cast("int").alias("_s")).join(loads, F.col("_s") == F.col("_to"), "left")
-    room = every.select(F.col("_s"), F.greatest(_quota(total, shards, F.col("_s")) - F.coalesce("_load", F.lit(0)), F.lit(0)).alias("_room"))
-    movers = aimed.where("shard <> best")
-    count = movers.count()
-    if not count:
-        return cells, 0
-    queued = running(movers, ["best"], ["g1", "g2", "shard"], "_before", count, "n").join(room, F.col("best") == F.col("_s"))
-    queued = queued.withColumn("_go", F.greatest(F.least(F.col("_room") - F.col("_before"), F.col("n")), F.lit(0)))
-    went = queued.select("g1", "g2", F.col("best").alias("shard"), F.col("_go").alias("n"))
-    stayed = queued.select("g1", "g2", "shard", (F.col("n") - F.col("_go")).alias("n"))
-    rest = aimed.where("shard = best").select("g1", "g2", "shard", "n")
-    after = materialize(rest.unionByName(went).unionByName(stayed).where("n > 0").groupBy("g1", "g2", "shard").agg(F.sum("n").alias("n")), "shard-cells")
-    moved = queued.agg(F.sum("_go")).first()[0]
-    discard(aimed)
-    return after, int(moved)
+#: Groups of this part of a shard, or more, choose their shards first.
+LARGE = 4
+
+
+def _choices(groups: list, room: list[int]) -> list[tuple]:
+    """(g1, g2, shard, n) of large groups, largest first; takes from ``room``."""
+    out = []
+    for g in sorted(groups, key=lambda g: (-g["m"], g["g1"], g["g2"])):
+        votes, left = {v["shard"]: v["n"] for v in g["votes"]}, g["m"]
+        while left:
+            fits = [s for s in range(len(room)) if room[s] >= left]
+            if fits:
+                at = max(fits, key=lambda s: (votes.get(s, 0) * room[s], room[s], -s))
+            else:
+                at = max(range(len(room)), key=lambda s: (room[s], votes.get(s, 0), -s))
+            n = min(left, room[at])
+            room[at] -= n
+            left -= n
+            out.append((g["g1"], g["g2"], at, n))
+    return out
+
+
+def _longs(values: list[int]) -> Column:
+    return F.array(*[F.lit(v).cast("long") for v in values])
+
+
+def _ends(room: list[int]) -> list[int]:
+    return [sum(room[: i + 1]) for i in range(len(room))]
+
+
+def _round(pending: DataFrame, room: list[int], k: int) -> tuple[DataFrame, DataFrame]:
+    """One round: (g1, g2, shard, n) of the groups that found room, and the groups that wait; takes from ``room``."""
+    free, ends = _longs(room), _longs(_ends(room))
+    score = lambda v: F.when(F.element_at(free, v["shard"] + 1) >= F.col("m"), v["n"] * F.element_at(free, v["shard"] + 1)).otherwise(F.lit(0).cast("long"))
+    voted = F.array_max(F.transform("votes", lambda v: F.struct(score(v).alias("score"), F.xxhash64("g1", "g2", v["shard"]).alias("h"), v["shard"].alias("shard"))))
+    drawn = F.size(F.filter(ends, lambda e: e <= F.pmod(F.xxhash64(F.lit(k), "g1", "g2"), F.lit(sum(room)))))
+    asks = pending.withColumn("_v", voted).withColumn("_to", F.when(F.col("_v.score") > 0, F.col("_v.shard")).otherwise(drawn)).drop("_v")
+    asks = materialize(asks, "shard-asks")
+    queued = running(asks, ["_to"], ["g1", "g2"], "_before", asks.count(), "m")
+    queued = materialize(queued.withColumn("_in", F.col("_before") + F.col("m") <= F.element_at(free, F.col("_to") + 1)), "shard-queued")
+    placed = queued.where("_in").select("g1", "g2", F.col("_to").alias("shard"), F.col("m").alias("n"))
+    for r in placed.groupBy("shard").agg(F.sum("n").alias("n")).collect():  # one row a shard
+        room[r["shard"]] -= r["n"]
+    discard(asks)
+    return placed, queued.where(~F.col("_in")).select("g1", "g2", "m", "votes")
+
+
+def _in_gaps(pending: DataFrame, room: list[int]) -> DataFrame:
+    """(g1, g2, shard, n): groups one after another over what is free, cut only where a shard's room ends."""
+    line = running(pending, [], ["g1", "g2"], "_from", pending.count(), "m").withColumn("_to", F.col("_from") + F.col("m"))
+    gaps = F.array(*[F.struct(F.lit(s).alias("shard"), F.lit(e - r).cast("long").alias("a"), F.lit(e).cast("long").alias("b")) for s, (r, e) in enumerate(zip(room, _ends(room), strict=True))])
+    cut = line.select("g1", "g2", "_from", "_to", F.explode(F.filter(gaps, lambda x: (x["a"] < F.col("_to")) & (x["b"] > F.col("_from")) & (x["a"] < x["b"]))).alias("x"))
+    return cut.select("g1", "g2", "x.shard", (F.least("x.b", "_to") - F.greatest("x.a", "_from")).alias("n"))
 
 
 def propagate(cells: DataFrame, total: int, shards: int, rounds: int) -> DataFrame:
-    """Cells (g1, g2, shard, n) after up to ``rounds`` rounds, or when none moves."""
-    for _ in range(rounds):
-        cells, moved = _moved(cells, total, shards)
-        if not moved:
+    """Cells (g1, g2, shard, n) of all linked documents, within the quotas, after up to ``rounds`` rounds."""
+    spark = cells.sparkSession
+    room = [total // shards + (s < total % shards) for s in range(shards)]
+    votes = F.collect_list(F.struct("shard", "n")).alias("votes")
+    groups = materialize(cells.groupBy("g1", "g2").agg(F.sum("n").alias("m"), votes), "shard-votes")
+    is_large = F.col("m") * LARGE >= total // shards
+    large = _choices(groups.where(is_large).collect(), room)  # rows and votes are bounded by the number of shards
+    held = spark.createDataFrame(large, "g1 long, g2 long, shard int, n long")
+    pending = groups.where(~is_large)
+    for k in range(rounds):
+        if pending.isEmpty():
             break
-    return cells
+        placed, pending = _round(pending, room, k)
+        held = held.unionByName(placed)
+    if not pending.isEmpty():
+        held = held.unionByName(_in_gaps(pending, room))
+    return materialize(held, "shard-held")
 
 
 def shard(docs: DataFrame, shards: int = 40, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,22 +122,7 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 4, id_col: str = "doc
     groups = materialize(groups, "shard-groups")
     in_group = (F.col("g1") == F.col("_g1")) & (F.col("g2") == F.col("_g2"))
     linked_cells = materialize(cells.join(groups, in_group, "left_semi"), "shard-cells")
-    settled = propagate(linked_cells, total, shards, rounds)
-
-    # what a shard holds beyond its quota waits with the unlinked documents; cells at home are kept first
-    aimed = materialize(_aimed(settled), "shard-aims")
-    home, away = aimed.where("shard = best"), aimed.where("shard <> best")
-    n_cells = aimed.count()
-    quota = _quota(total, shards, F.col("shard"))
-
-    def within(part: DataFrame, room: Column) -> DataFrame:
-        queued = running(part, ["shard"], ["g1", "g2"], "_before", n_cells, "n")
-        return queued.withColumn("n", F.greatest(F.least(room - F.col("_before"), F.col("n")), F.lit(0))).where("n > 0")
-
-    first = materialize(within(home, quota).select("g1", "g2", "shard", "n"), "shard-held")
-    taken = first.groupBy(F.col("shard").alias("_s")).agg(F.sum("n").alias("_taken"))
-    second = within(away.join(taken, F.col("shard") == F.col("_s"), "left"), quota - F.coalesce("_taken", F.lit(0)))
-    held = materialize(first.unionByName(second.select("g1", "g2", "shard", "n")), "shard-held")
+    held = propagate(linked_cells, total, shards, rounds)
     used = {r["shard"]: r["n"] for r in held.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
 
     over = Window.partitionBy("g1", "g2").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)  # at most one row a shard
