@@ -10,7 +10,9 @@ before, which come from two narrow columns and one row a file.
 
 The tokenizer is the ``tokenizers`` library.  Its byte-level model encodes
 each piece of the public pattern for itself, so each distinct piece is given
-to the library once and remembered (bounded, in each Python worker).
+to the library once and remembered (bounded, in each Python worker).  Texts are
+cut first at the added tokens of the tokenizer's file (leftmost, longest), as
+the library does; each stands for its identifier wherever a text holds it.
 
 Defined results: null text is an empty text and has the end identifier only;
 documents with equal ids follow each other in the order of their text's hash;
@@ -20,6 +22,7 @@ ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -51,12 +54,31 @@ class Pieces(Coder):
 
         super().__init__(CACHE_PIECES, CACHE_BYTES)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added: dict[str, int] = {}
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            if token.single_word or token.lstrip or token.rstrip or token.normalized:
+                raise ValueError(f"added token {token.content!r} is not matched as it stands")
+            self.added[token.content] = i
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
         vocabulary = self.tokenizer.get_vocab()
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.lengths[i] = len(token)  # byte-level: one character stands for one byte
 
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Identifiers of each text in order, added tokens among them."""
+        if self.cut is None or not any(x and self.cut.search(x) for x in texts):
+            yield from super().encode(texts)
+            return
+        parts = [self.cut.split(x or "") for x in texts]  # every second part is an added token
+        between = super().encode([y for x in parts for y in x[::2]])
+        for x in parts:
+            ids = [next(between)]
+            for token in x[1::2]:
+                ids += [np.array([self.added[token]], np.int32), next(between)]
+            yield np.concatenate(ids)
+
     def learn(self, missing: list[bytes]) -> list[bytes]:
         out: list[bytes] = [b""] * len(missing)
         plain, other = [], []
