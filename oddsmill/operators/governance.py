@@ -33,17 +33,25 @@ def compare_runs(runs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def lineage(links: DataFrame, start: str, most: int = 50) -> DataFrame:
-    """(artifact, depth): everything an artefact is made from, by a recursive query over (child, parent)."""
+    """(artifact, depth): everything an artefact is made from, by a recursive query over (child, parent).
+
+    Raises where an artefact first met at depth ``most`` is made from others that were not met.
+    """
     spark = links.sparkSession
     links.createOrReplaceTempView("_oddsmill_links")
     name = start.replace("'", "''")
-    return spark.sql(
+    out = spark.sql(
         f"""WITH RECURSIVE up(artifact, depth) AS (
               SELECT '{name}', 0
               UNION ALL
               SELECT l.parent, up.depth + 1 FROM _oddsmill_links l JOIN up ON l.child = up.artifact WHERE up.depth < {most}
             ) SELECT artifact, min(depth) AS depth FROM up GROUP BY artifact"""
     )
+    last = out.where(F.col("depth") == most).select(F.col("artifact").alias("_child"))
+    beyond = links.join(last, F.col("child") == F.col("_child"), "left_semi").select("parent")
+    if not beyond.join(out.select("artifact"), F.col("parent") == F.col("artifact"), "left_anti").where("parent IS NOT NULL").isEmpty():
+        raise RuntimeError(f"lineage of {start} is deeper than {most}")
+    return out
 
 
 def split_of(keys: list[str], train: float = 0.7, seed: int = 42) -> Column:
