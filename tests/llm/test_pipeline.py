@@ -10,20 +10,20 @@ import corpus_pipeline
 from oddsmill.llm import bpe, mixing
 
 from .test_quality import brute as quality_of
-from .test_simhash import brute_fingerprint, brute_groups
+from .test_shingle_dedup import brute_groups
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def test_run_agrees_with_brute_force(spark, tmp_path, documents):
-    rows = [r for r in documents.collect() if len(r.text) < 4000]
+    rows = documents.collect()
     spark.createDataFrame(rows, documents.schema).write.parquet(str(tmp_path / "documents.parquet"))
     kept = [r for r in rows if quality_of(r.text)[-1]]
     groups = defaultdict(list)
     for r in kept:
         groups[re.sub(r"[\x20\x09-\x0D]", "", r.text)].append(r)
     kept = [min(g, key=lambda r: (-len(r.text), r.doc_id)) for g in groups.values()]
-    heads = {c for _, _, c in brute_groups([(r.doc_id, brute_fingerprint(r.text)) for r in kept])}
+    heads = {min(g) for g in brute_groups([(r.doc_id, r.text) for r in kept])}
     kept = [r for r in kept if r.doc_id in heads]
     docs = spark.createDataFrame(kept, documents.schema)
     # the mixture of these rows, copy by copy, from its segments

@@ -11,9 +11,7 @@ from .conftest import ODD
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(O.tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(O.tokenizer_path())
 
 
 def brute(library, rows):
@@ -47,9 +45,3 @@ def test_odd_rows(spark, odd, empty, library, tmp_path):
     texts = {r[0]: r[1] for r in ODD}
     assert got == brute(library, [(i, texts[i]) for i in ids])
     assert stored(spark, empty, str(tmp_path / "e")) == []
-
-
-def test_special_strings_are_text(spark, library, tmp_path):
-    df = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
-    O.write_tokens(df, str(tmp_path / "s"), O.tokenizer_path())
-    assert 50256 not in O.read_tokens(spark, str(tmp_path / "s")).first().ids
