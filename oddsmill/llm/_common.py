@@ -18,7 +18,7 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: A word is a maximal run of anything else (Java and Python spelling agree).  Fixed value.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most bytes of one Arrow batch sent to a Python worker, so that workers stay small.
-ARROW_BATCH_BYTES = 8 << 20
+ARROW_BATCH_BYTES = 2 << 20
 
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -99,6 +99,20 @@ def _bytes(text: str) -> int:
     return int(number) * {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[unit]
 
 
+def free_name(columns: list[str], name: str | None) -> str | None:
+    """What ``with_free_names`` calls a column: its place, which no helper column of an operator is called."""
+    if name is None:
+        return None
+    at = next((i for i, c in enumerate(columns) if c == name), None)
+    at = next((i for i, c in enumerate(columns) if c.lower() == name.lower()), None) if at is None else at
+    return None if at is None else f"in{at}"
+
+
+def with_free_names(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named in0, in1, ..., so that names of the input and of the operator cannot clash."""
+    return df.toDF(*[f"in{i}" for i in range(len(df.columns))])
+
+
 def same(left: list[Column], right: list[Column]) -> Column:
     """Null-safe equality of two lists of columns."""
     return reduce(lambda a, b: a & b, (x.eqNullSafe(y) for x, y in zip(left, right, strict=True)))

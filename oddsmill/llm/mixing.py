@@ -1,22 +1,24 @@
 """Mixing sources to target weights (DataFrame functions only).
 
 Words of each source are packed into blocks of fixed length.  The output has
-as many slots as the quotas of all sources together and is cut into shards of
-fixed length; a keyed pseudorandom permutation of all slots decides which
-source fills which, so the counts of the sources in a shard are a multinomial
-draw, conditional on every source meeting its quota exactly.  The t-th slot of
-a source with n blocks reads block p(t mod n) of epoch t div n, where p is a
-pseudorandom permutation of the source's block numbers keyed by source and
-epoch; slots and blocks are then joined by (source, block number).
-
-A plain multinomial draw misses the quotas by its own noise and would let a
-source at its limit go over it; conditioning on the totals removes both.
-Everything is a pure function of rows, parameters and seed: reruns agree.
+as many slots as the quotas of all sources together, cut into shards of fixed
+length.  Every slot draws a source with the quotas as weights, from a hash of
+seed, shard and slot, so the counts of the sources in a shard are a
+multinomial draw.  A plain draw misses the quotas by its own noise and would
+let a source at its limit go over it; so what a source has drawn beyond its
+quota is given to the sources that have drawn less, slot for slot (``drawn``
+and ``blocks`` in ``shard_counts`` tell the draw from what became of it).
+The t-th slot of a source with n blocks reads block p(t mod n) of epoch
+t div n, where p is a pseudorandom permutation of the source's block numbers
+keyed by source and epoch; slots and blocks are then joined by (source, block
+number).  Everything is a pure function of rows, parameters and seed: reruns
+agree.
 
 Defined results: null text has size 0; a null source is a source of its own,
 ordered last; documents of size 0 are returned with ``taken`` 0; repeated rows
 are packed one after the other; an empty table gives empty results; other
-columns are ignored.
+columns are ignored, and kept by ``mixed_texts`` whatever their names.  A long
+text is cut over as many blocks as it fills.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import WORD, materialize, permuted, running, same
+from ._common import SPACE_CHARS, WORD, free_name, materialize, permuted, running, same, with_free_names
 
 
 @dataclass
@@ -40,8 +42,10 @@ class Mixture:
     slots: DataFrame
 
     def shard_counts(self) -> DataFrame:
-        """The drawn number of blocks of each source in each output shard."""
-        return self.slots.groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("blocks"))
+        """(shard, sid, drawn, blocks): the multinomial draw of each output shard, and the blocks it holds after the quotas are met."""
+        drawn = self.slots.groupBy("shard", F.col("drawn_sid").alias("sid")).agg(F.count(F.lit(1)).alias("drawn"), F.lit(0).cast("long").alias("blocks"))
+        held = self.slots.groupBy("shard", "sid").agg(F.lit(0).cast("long").alias("drawn"), F.count(F.lit(1)).alias("blocks"))
+        return drawn.unionByName(held).groupBy("shard", "sid").agg(F.sum("drawn").alias("drawn"), F.sum("blocks").alias("blocks"))
 
     def used_segments(self) -> DataFrame:
         """Segments joined to the slots by source and block number, with ``uses``."""
@@ -51,7 +55,9 @@ class Mixture:
 
 
 def n_words(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
+    """Words, counted by what is left when each becomes one character together with the white space before it."""
+    trimmed = F.rtrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
+    return F.char_length(F.regexp_replace(trimmed, rf"[\x20\x09-\x0D]*+{WORD}", "x")).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
@@ -124,28 +130,47 @@ def mix(
     return Mixture(targets, placed, segments, _slots(targets, shard_blocks, seed))
 
 
-def _slots(targets: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
-    """(shard, slot, sid, epoch, block): every slot of the output once.
+def _owners(places: DataFrame, of: DataFrame, length: str, first: str, width: int, *keep: str) -> DataFrame:
+    """``places`` with the row of ``of`` whose interval [first, first + length) holds ``_place``, by an equi-join on ranges of places."""
+    last = f"({first} + {length} - 1) div {width}"
+    ranges = of.where(f"{length} > 0").select(*keep, F.col(first).alias("_first"), F.col(length).alias("_length"), F.explode(F.expr(f"sequence({first} div {width}, {last})")).alias("_range"))
+    inside = (F.expr(f"_place div {width}") == F.col("_range")) & (F.col("_place") >= F.col("_first")) & (F.col("_place") < F.col("_first") + F.col("_length"))
+    return places.join(ranges, inside).drop("_range", "_length")
 
-    Slots are permuted over the quotas laid end to end; the owner of a place
-    is found by an equi-join on ranges of places, never by a cross join.
-    """
+
+def _slots(targets: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
+    """(shard, slot, drawn_sid, sid, epoch, block): every slot of the output once."""
     spark = targets.sparkSession
     total = int(targets.agg(F.sum("quota")).first()[0] or 0)
     width = max(1, min(4096, total // 4096 + 1))
-    ranges = targets.where("quota > 0").select(
-        "sid", "n_blocks", "quota", "first_slot",
-        F.explode(F.expr(f"sequence(first_slot div {width}, (first_slot + quota - 1) div {width})")).alias("_range"),
-    )
-    slots = spark.range(total).select(F.col("id").alias("slot"), F.expr(permuted("id", f"{total}L", f"{seed}")).alias("_place") if total else F.lit(0).cast("long").alias("_place"))
-    slots = slots.withColumn("_at", F.expr(f"_place div {width}"))
-    inside = (F.col("_at") == F.col("_range")) & (F.col("_place") >= F.col("first_slot")) & (F.col("_place") < F.col("first_slot") + F.col("quota"))
-    owned = slots.join(ranges, inside).withColumn("_t", F.col("_place") - F.col("first_slot"))
-    owned = owned.withColumn("epoch", F.expr("_t div n_blocks")).withColumn("_u", F.col("_t") % F.col("n_blocks"))
-    return owned.select(
-        F.expr(f"slot div {shard_blocks}").alias("shard"), "slot", "sid", "epoch",
-        F.expr(permuted("_u", "n_blocks", "sid", "epoch", f"{seed}")).alias("block"),
-    )
+    shard = F.expr(f"id div {shard_blocks}")
+    draw = F.pmod(F.xxhash64(F.lit(seed).cast("long"), shard, F.col("id")), F.lit(max(total, 1)).cast("long"))
+    slots = spark.range(total).select(shard.alias("shard"), F.col("id").alias("slot"), draw.alias("_place"))
+    drawn = materialize(_owners(slots, targets, "quota", "first_slot", width, "sid").select("shard", "slot", "sid"), "mix-drawn")
+
+    # the number of a slot among those of its source: a shard holds a bounded number of them
+    counts = running(drawn.groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("_n")), ["sid"], ["shard"], "_first_t", max(1, total // shard_blocks), "_n")
+    counts = counts.select(F.col("shard").alias("_shard"), F.col("sid").alias("_sid"), "_first_t")
+    within = F.row_number().over(Window.partitionBy("shard", "sid").orderBy("slot")).cast("long") - 1
+    numbered = drawn.withColumn("_within", within).join(counts, same([F.col("shard"), F.col("sid")], [F.col("_shard"), F.col("_sid")]))
+    numbered = numbered.select("shard", "slot", "sid", (F.col("_first_t") + F.col("_within")).alias("_t"))
+
+    # sources over their quota give up their last slots, in line, to those under it
+    had = drawn.groupBy(F.col("sid").alias("_sid")).agg(F.count(F.lit(1)).alias("_had"))
+    before = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)  # one row a source
+    balance = targets.select("sid", "quota", "n_blocks").join(had, F.col("sid") == F.col("_sid"), "left").withColumn("_had", F.coalesce("_had", F.lit(0)))
+    balance = balance.withColumn("_over", F.greatest(F.col("_had") - F.col("quota"), F.lit(0))).withColumn("_under", F.greatest(F.col("quota") - F.col("_had"), F.lit(0)))
+    for name in ("_over", "_under"):
+        balance = balance.withColumn(f"{name}_first", F.coalesce(F.sum(name).over(before), F.lit(0)))
+    balance = materialize(balance.drop("_sid"), "mix-balance")
+    own = balance.select(F.col("sid").alias("_sid"), "quota", "n_blocks", "_over_first")
+    joined = numbered.join(own, F.col("sid") == F.col("_sid")).drop("_sid")
+    kept = joined.where("_t < quota").select("shard", "slot", F.col("sid").alias("drawn_sid"), "sid", "n_blocks", "_t")
+    freed = joined.where("_t >= quota").select("shard", "slot", F.col("sid").alias("drawn_sid"), (F.col("_over_first") + F.col("_t") - F.col("quota")).alias("_place"))
+    given = _owners(freed, balance, "_under", "_under_first", width, "sid", "n_blocks", "_had")
+    given = given.select("shard", "slot", "drawn_sid", "sid", "n_blocks", (F.col("_had") + F.col("_place") - F.col("_first")).alias("_t"))
+    owned = kept.unionByName(given).withColumn("epoch", F.expr("_t div n_blocks")).withColumn("_u", F.col("_t") % F.col("n_blocks"))
+    return owned.select("shard", "slot", "drawn_sid", "sid", "epoch", F.expr(permuted("_u", "n_blocks", "sid", "epoch", f"{seed}")).alias("block"))
 
 
 def taken(mixture: Mixture) -> DataFrame:
@@ -171,6 +196,8 @@ def mixed_texts(docs: DataFrame, mixture: Mixture, id_col: str = "doc_id", text_
     plan = F.array_sort(F.collect_list(F.struct("word_from", "word_to", "uses")))
     plans = used.groupBy("sid", "start", "doc_id", "text_key", "size").agg(plan.alias("_plan")).join(own, F.col("sid") == F.col("_sid"))
     plans = plans.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_source", F.col("size").alias("_size"), "_plan")
+    taken_names, docs = docs.columns, with_free_names(docs)
+    id_col, text_col, source_col, chars_col = (free_name(taken_names, c) for c in (id_col, text_col, source_col, chars_col))
     text = F.col(text_col)
     keys = [F.col(id_col), F.col("_text_key"), F.col(source_col)]
     keyed = docs.withColumn("_text_key", F.xxhash64(text))
@@ -191,7 +218,7 @@ def mixed_texts(docs: DataFrame, mixture: Mixture, id_col: str = "doc_id", text_
     new_text = F.when(F.col("_whole"), text).otherwise(F.array_join(pieces, " "))
     out = one.withColumn("_new", new_text)
     columns = [F.col("_new").alias(text_col) if c == text_col else (F.char_length("_new").cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col(f"`{c}`")) for c in docs.columns]
-    return out.select(*columns)
+    return out.select(*[c.alias(name) for c, name in zip(columns, taken_names, strict=True)])
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
