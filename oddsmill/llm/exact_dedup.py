@@ -13,8 +13,9 @@ Defined results: null text counts as empty; all empty or blank texts are one
 group; repeated rows are members like any other; of rows tied in length the
 smallest doc_id stays and a null doc_id comes last; if the row that stays is
 repeated whole, exactly the rows equal in doc_id, length and text are kept
-together; an empty table gives an empty result; other columns pass through
-untouched whatever their names (the names starting with ``_`` are the operator's).
+together; a long text is cut into as many chunks as it needs, and its list
+grows with it; ids may be of any type that has an order; an empty table gives
+an empty result; other columns pass through untouched whatever their names.
 """
 
 from __future__ import annotations
@@ -24,15 +25,31 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE_CHARS, materialize
+from ._common import SPACE_CHARS, free_name, materialize, with_free_names
 
 #: Least and most characters of a chunk, and the two sets whose succession ends one.
 CHUNK_MIN, CHUNK_MAX = 512, 4096
 
 
+#: First and last code point of stretches of scripts, and how many neighbours are of one kind there: one
+#: where alphabets are, more among ideographs, syllables and pictures.
+_STRETCHES = (
+    (0x100, 0x7FF, 1), (0x800, 0xFFF, 1), (0x1000, 0x17FF, 1), (0x1800, 0x1FFF, 1), (0x2000, 0x33FF, 8), (0x3400, 0x9FFF, 64), (0xA000, 0xABFF, 8), (0xAC00, 0xD7FF, 64),
+    (0xF900, 0xFFFF, 8), (0x10000, 0x10FFF, 2), (0x11000, 0x11FFF, 2), (0x12000, 0x1DFFF, 16), (0x1E000, 0x1EFFF, 2), (0x1F000, 0x1FFFF, 8), (0x20000, 0x33FFF, 64),
+)
+
+
 def _marks(residue: int) -> str:
-    """Class of the characters U+0021..U+024F whose code point has this residue modulo 8."""
-    return "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x21, 0x250) if c % 8 == residue) + "]"
+    """Class of an eighth of the characters of every script: those whose kind has this residue modulo 8.
+
+    A stretch's own list is only looked at for its own characters.
+    """
+    plain = "".join(f"\\x{{{c:x}}}" for c in range(0x21, 0x100) if c % 8 == residue)
+    parts = []
+    for a, b, width in _STRETCHES:
+        own = "".join(f"\\x{{{c:x}}}" + (f"-\\x{{{c + width - 1:x}}}" if width > 1 else "") for c in range(a, b + 1, width) if c // width % 8 == residue)
+        parts.append(f"[[\\x{{{a:x}}}-\\x{{{b:x}}}]&&[{own}]]")
+    return f"[{plain}{''.join(parts)}]"
 
 
 def chunk_pattern(least: int = CHUNK_MIN, most: int = CHUNK_MAX) -> str:
@@ -101,9 +118,9 @@ def exact_groups(
         lists = _with_ordinals(lists, clashes)
     lists = materialize(lists, "recipes")
 
-    best = F.max_by(F.col("_id"), F.struct(F.col("_chars"), F.col("_id").isNotNull(), F.bitwise_not(F.col("_id"))))
+    best = F.min(F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("n"), F.col("_id").alias("id")))
     groups = lists.groupBy("_recipe").agg(
-        best.alias("keep_id"),
+        best["id"].alias("keep_id"),
         F.max("_chars").alias("_most"),
         F.count(F.lit(1)).alias("group_size"),
     )
@@ -144,14 +161,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows repeated whole leave one row.  The decision travels as (id, length,
     hash of the normalised text), so texts are not shuffled for the filter.
     """
+    names, docs = docs.columns, with_free_names(docs)
+    id_col, text_col = free_name(names, id_col), free_name(names, text_col)
     gone = exact_groups(docs, id_col, text_col).where("group_size > 1").groupBy("_id", "_chars", "_sha").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_times"))
     gone = gone.select(F.col("_id").alias("_i"), F.col("_chars").alias("_n"), F.col("_sha").alias("_s"), "_kept", "_times")
     marked = docs.withColumn("_len", F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")).withColumn("_hash", F.sha2(normalised(F.col(text_col)), 256))
     on = F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_len") == F.col("_n")) & (F.col("_hash") == F.col("_s"))
     kept = marked.join(gone, on, "left").where(F.col("_kept").isNull() | F.col("_kept"))
-    once = kept.where(F.coalesce("_times", F.lit(1)) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
-    again = kept.where("_times > 1").dropDuplicates([id_col, "_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return once.unionByName(again)
+    once = kept.where(F.coalesce("_times", F.lit(1)) == 1).select(*docs.columns)
+    again = kept.where("_times > 1").dropDuplicates([id_col, "_hash"]).select(*docs.columns)
+    return once.unionByName(again).toDF(*names)
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:

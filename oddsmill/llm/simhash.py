@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, same, small_batches
+from ._common import free_name, materialize, same, small_batches, with_free_names
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -164,6 +164,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def heads_of(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The first row of ``docs`` of each root; ``rows`` has doc_id, text_key and root."""
+    names, docs = docs.columns, with_free_names(docs)
+    id_col, text_col = free_name(names, id_col), free_name(names, text_col)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("text_key").alias("key")))
     heads = materialize(rows.groupBy("root").agg(best.alias("b")).select(F.col("b.id").alias("_id"), F.col("b.key").alias("_key")), "simhash-heads")
     keyed = docs.withColumn("_text_key", F.xxhash64(text_col))
@@ -174,7 +176,7 @@ def heads_of(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> Da
     if not again.isEmpty():
         once = kept.join(again, on, "left_semi").dropDuplicates([id_col, "_text_key"])
         kept = kept.join(again, on, "left_anti").unionByName(once)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*docs.columns).toDF(*names)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

@@ -52,3 +52,31 @@ def test_deduplicate_keeps_columns_and_one_row_of_a_group(spark, odd, empty):
     assert sorted(str(r.doc_id) for r in out.collect()) == ["2", "5", "6", "7", "None"]
     assert X.deduplicate(empty).count() == 0
     assert X.exact_groups(empty).count() == 0
+
+
+def test_chunks_follow_the_text_in_every_script(spark):
+    import random
+
+    rnd = random.Random(9)
+    alphabets = {"latin": (0x61, 0x7A), "cyrillic": (0x430, 0x44F), "arabic": (0x627, 0x64A), "thai": (0xE01, 0xE2E), "han": (0x4E00, 0x9FA5), "hangul": (0xAC00, 0xD7A3), "deseret": (0x10400, 0x1044F)}
+    rows = []
+    for name, (a, b) in alphabets.items():
+        text = "".join(chr(rnd.randint(a, b)) for _ in range(30_000))
+        rows += [(name, text), (name, text[:7000] + chr(a + 1) + text[7000:])]
+    df = spark.createDataFrame(rows, "script string, t string").select("script", X.chunks(F.col("t")).alias("c"))
+    for script in alphabets:
+        one, two = (set(r.c) for r in df.where(F.col("script") == script).collect())
+        assert len(one) > 15 and len(one & two) >= 0.8 * len(one), script
+
+
+def test_ids_of_any_type(spark):
+    rows = [("b", "x y"), ("a", "x  y"), ("c", "xy"), (None, "x  y"), ("d", "z")]
+    out = got(X.exact_groups(spark.createDataFrame(rows, "doc_id string, text string")))
+    assert [(i, k, n, kept) for i, k, n, kept, _ in out] == [("a", "a", 4, True), ("b", "a", 4, False), ("c", "a", 4, False), ("d", "d", 1, True), (None, "a", 4, False)]
+
+
+def test_helper_names_may_be_taken(spark, odd):
+    clash = odd.select("*", *[F.lit(n).alias(n) for n in ("_len", "_hash", "_kept", "_times", "_i", "_n", "_s", "in0", "_text_key", "_copy", "_plan")])
+    out = X.deduplicate(clash)
+    assert out.columns == clash.columns and {r["_kept"] for r in out.collect()} == {"_kept"}
+    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(r.doc_id) for r in X.deduplicate(odd).collect())
