@@ -1,17 +1,20 @@
 """Line deduplication by site-relative frequency.
 
 A page's lines are its visible text between block elements.  For each host the
-pages that contain a line are divided by the host's pages; a line is dropped
-from all pages of a host where that ratio exceeds ``BOILERPLATE``.  Ratios of a
+pages that contain a line are divided by the host's pages; a line that two
+pages have or more is dropped from all pages of a host where that ratio
+exceeds ``BOILERPLATE``, however many pages the host has.  Ratios of a
 host's lines sum to its mean number of lines per page, so a host has at most
 that mean over ``BOILERPLATE`` boilerplate lines: the list kept for a host is
 bounded by its pages' length, never by their number.
 
 Defined results: null html has no lines; a page without a host (null or
-relative url) belongs to the host ''; hosts with fewer than ``LEAST_PAGES``
-pages keep all lines; a line repeated within a page counts once and is dropped
-or kept at every place; repeated rows are pages of their own; an empty table
-gives an empty result; other columns are ignored.
+relative url) belongs to the host ''; a line of a single page is not
+boilerplate, so a host's only page keeps all lines; a line repeated within a page counts once and is dropped
+or kept at every place; repeated rows are pages of their own; a script, style
+or comment that nothing ends takes the rest of the page, and a tag that none
+ends is text, so markup is read in one pass however long the page; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ from pyspark.sql import functions as F
 
 from ._common import materialize
 
-BOILERPLATE, LEAST_PAGES = 0.3, 5
+BOILERPLATE, LEAST_PAGES = 0.3, 2
 #: What ends a line, and what vanishes within one (in this order).
-BLOCK = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>"
-INLINE = r"<[^>]*>"
+BLOCK = r"(?is)<script\b(?:.*?</script\s*>|.*)|<style\b(?:.*?</style\s*>|.*)|<!--(?:.*?-->|.*)|</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^<>]*>"
+INLINE = r"<[^<>]*>"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 

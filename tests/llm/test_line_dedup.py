@@ -40,3 +40,19 @@ def test_odd_pages(spark):
 def test_pages(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/pages.parquet")
     assert got(df) == brute([(r.page_id, r.url, r.html) for r in df.collect()])
+
+
+def test_small_hosts_follow_the_same_ratio(spark):
+    page = lambda k: f"<nav>Menu</nav><p>own {k}</p><p>both</p>"
+    rows = [(1, "http://two/a", page(1), ""), (2, "http://two/b", page(2), ""), (3, "http://one/a", page(3), "")]
+    rows += [(10 + k, "http://four/x", f"<p>{'rare' if k < 1 else 'often'}</p><p>own {k}</p>", "") for k in range(4)]
+    out = {r[0]: r[4] for r in got(spark.createDataFrame(rows, SCHEMA))}
+    assert out[1] == "own 1" and out[2] == "own 2"
+    assert out[3] == "Menu\nown 3\nboth"
+    assert out[10] == "rare\nown 0" and out[11] == "own 1"
+
+
+def test_markup_that_nothing_ends_is_read_in_one_pass(spark):
+    rows = [(1, "http://a/", "<p>text</p>" + "<script " * 60_000, ""), (2, "http://b/", "one < two " * 30_000, ""), (3, "http://c/", "<!-- " * 60_000 + "x", "")]
+    out = {r[0]: r for r in got(spark.createDataFrame(rows, SCHEMA))}
+    assert out[1][4] == "text" and out[2][2] == 1 and out[3][4] == ""
