@@ -1,7 +1,11 @@
 """Secret scans with a randomness test battery (DataFrame functions only).
 
 Three fixed patterns find assignments, access keys and hexadecimal keys.
-Beyond them every token of twenty or more key characters is a candidate: its
+Beyond them a token of twenty or more key characters is a candidate if it has
+a digit, a small letter before two capitals, or twenty capitals in a row (names
+strung together in capitals and small letters have none of these; of random
+keys of twenty characters 3 in a thousand have none in base 62 or 64, 2 in a
+thousand in base 36, and longer ones fewer).  Its
 encoding is inferred from its characters (hexadecimal, base 32, base 62 or
 base 64) and three tests compare it with that encoding's uniform noise and
 with written text: chi-squared uniformity over the alphabet, the number of
@@ -18,8 +22,9 @@ down), so only a table of bounded size (classes x 1,201 cells) is gathered.
 Defined results: null text is empty; an empty text has no spans and the hash
 of the empty string; matches of a kind never overlap, matches of different
 kinds may; candidates that overlap a match of a fixed pattern are left to it;
-repeated rows are scanned like any other; an empty table gives an empty
-result; other columns are ignored.
+repeated rows are scanned like any other; a long text is scanned whole, a long
+token measured whole; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +40,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"  # the same spans as AKIA[A-Z0-9]+ of 16 or more c
 HEX = r"[0-9a-f]{32,}"  # likewise
 KINDS = ("assign", "access", "hex", "random")
 
-# The battery.  A candidate is a whole run of the widest alphabet that holds a digit, with its padding.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}"
+# The battery.  A candidate is a whole run of the widest alphabet that does not look like one word or a list of such, with its padding.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*?(?:[0-9]|[a-z][A-Z]{2}|[A-Z]{20}))[A-Za-z0-9+/_-]{20,}+={0,2}"
 #: Model of written text: chance that two characters agree and its spread, chance that neighbours
 #: change class, serial correlation of code values.
 TEXT_AGREE, TEXT_SPREAD, TEXT_CHANGE, TEXT_SERIAL = 0.065, 0.0011, 0.15, 0.5
