@@ -11,6 +11,8 @@ there are at most ``LARGE`` times as many as shards, choose first, largest
 first.  Unlinked documents have no neighbours and fill what is left, which
 makes counts exact.
 
+Rounds go on until every group has a shard or none of them finds room.
+
 The law is ``rows``: counts of shards differ by at most one.  A large group no
 shard has room for takes the shards with most room, so a group larger than a
 shard is split over as few shards as its turn allows.  What has no shard after
@@ -18,12 +20,15 @@ the last round fills the gaps in one line, cut only where a gap ends.
 
 Defined results: null text has no bytes (size 16) and is linked with empty
 texts; repeated rows are documents of their own; null ids are ordered last
-where order matters; an empty table gives an empty result; other columns are
-ignored.  The result is a function of rows and parameters: reruns agree.
+where order matters; texts are equal when 128 bits of their SHA-256 are; a long
+text is read once, only its size and hashes move; an empty table gives an
+empty result; other columns are ignored.  The result is a function of rows and parameters: reruns agree.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,6 +58,12 @@ def _choices(groups: list, room: list[int]) -> list[tuple]:
     return out
 
 
+def _group(text: Column) -> list[Column]:
+    """g1 and g2: 128 bits of the SHA-256 of a text, by which texts are told apart."""
+    digest = F.sha2(text, 256)
+    return [F.conv(F.substring(digest, at, 16), 16, -10).cast("long").alias(name) for name, at in (("g1", 1), ("g2", 17))]
+
+
 def _longs(values: list[int]) -> Column:
     return F.array(*[F.lit(v).cast("long") for v in values])
 
@@ -86,8 +97,12 @@ def _in_gaps(pending: DataFrame, room: list[int]) -> DataFrame:
     return cut.select("g1", "g2", "x.shard", (F.least("x.b", "_to") - F.greatest("x.a", "_from")).alias("n"))
 
 
-def propagate(cells: DataFrame, total: int, shards: int, rounds: int) -> DataFrame:
-    """Cells (g1, g2, shard, n) of all linked documents, within the quotas, after up to ``rounds`` rounds."""
+def propagate(cells: DataFrame, total: int, shards: int, rounds: int | None = None) -> DataFrame:
+    """Cells (g1, g2, shard, n) of all linked documents, within the quotas.
+
+    Rounds go on until every group has a shard or none finds room in a round,
+    or until there were ``rounds``.
+    """
     spark = cells.sparkSession
     room = [total // shards + (s < total % shards) for s in range(shards)]
     votes = F.collect_list(F.struct("shard", "n")).alias("votes")
@@ -96,22 +111,25 @@ def propagate(cells: DataFrame, total: int, shards: int, rounds: int) -> DataFra
     large = _choices(groups.where(is_large).collect(), room)  # rows and votes are bounded by the number of shards
     held = spark.createDataFrame(large, "g1 long, g2 long, shard int, n long")
     pending = groups.where(~is_large)
-    for k in range(rounds):
+    for k in count() if rounds is None else range(rounds):
+        before = sum(room)
         if pending.isEmpty():
             break
         placed, pending = _round(pending, room, k)
         held = held.unionByName(placed)
+        if sum(room) == before:
+            break
     if not pending.isEmpty():
         held = held.unionByName(_in_gaps(pending, room))
     return materialize(held, "shard-held")
 
 
-def shard(docs: DataFrame, shards: int = 40, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, size, text_crc32, g1 and g2 (the group), shard, slot."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("g1"), F.xxhash64(F.lit("group"), text).alias("g2"),
+        *_group(text),
     )
     rows = materialize(rows, "shard-rows")
     total = rows.count()
