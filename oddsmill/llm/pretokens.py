@@ -8,12 +8,16 @@ automaton says so.  A step is a function from states to states and functions
 compose associatively, so texts are cut into blocks of fixed length: all
 blocks compose their steps at once, the blocks' functions are scanned, and all
 blocks are replayed at once from their now known states.
+
+Which code points are letters or numbers depends on the version of Unicode a
+library was built with, so a library is asked for each code point once (see
+``edges``), and its answer travels as the list of places where it changes.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import cache
 
 import numpy as np
@@ -31,17 +35,67 @@ _FRESH, _INL, _INN, _INO, _LEAD, _INW, _C1, _C2 = range(8)
 _STATES = 8
 _BLOCK = 64
 #: Characters scanned at once; longer texts are cut where a piece is sure to start.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
+_POINTS = 0x110000
+_SURROGATES = range(0xD800, 0xE000)
+# Planes 4 to 13 hold no characters; 15 and 16 are for private use.
+_EMPTY = (*range(4, 14), 15, 16)
+#: Code points asked for at once.
+_ASKED = 256
+
+
+def edges(joins: Callable[[str, str], np.ndarray], alike: Callable[[str], bool] | None = None) -> tuple[bytes, bytes]:
+    """Where letters begin and end among code points, and where numbers do, as packed 32-bit integers.
+
+    ``joins(first, points)`` says for each of the points whether ``first`` and
+    it are one piece; ``alike(text)``, where given, whether a text is one
+    piece, which settles blocks of one class by a question or two.
+    """
+    member = {first: np.zeros(_POINTS + 2, bool) for first in "a1"}
+
+    def ask(at: int) -> None:
+        points = "".join(map(chr, range(at, at + _ASKED)))
+        one = next((c for c in "a1!" if alike(c + points)), None) if alike else None
+        for first in "a1":
+            member[first][at + 1 : at + 1 + _ASKED] = joins(first, points) if one is None else one == first
+
+    with ThreadPoolExecutor() as pool:
+        list(pool.map(ask, [at for at in range(0, _POINTS, _ASKED) if at not in _SURROGATES and at >> 16 not in _EMPTY]))
+    letters, numbers = (np.flatnonzero(m[1:] != m[:-1]).astype("<u4").tobytes() for m in member.values())
+    return letters, numbers
 
 
 @cache
-def classes() -> np.ndarray:
-    """Class of every code point, one past the last included."""
-    out = np.full(0x110001, _OTHER, np.uint8)
-    for c in range(0x110000):
-        kind = unicodedata.category(chr(c))[0]
-        if kind in "LN":
-            out[c] = _LETTER if kind == "L" else _NUMBER
+def tiktoken_edges() -> tuple[bytes, bytes]:
+    """Letters and numbers as the tiktoken library sees them in the public pattern.
+
+    The probe's vocabulary has all bytes and, for "a" and for "1", each pair
+    with a byte that follows: a pair comes out where both are in one piece.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    pairs = [first + bytes([b]) for first in (b"a", b"1") for b in range(256)]
+    probe = tiktoken.Encoding(
+        "probe", pat_str=public_tokenizers.PATTERN, mergeable_ranks={bytes([b]): b for b in range(256)} | {p: 256 + i for i, p in enumerate(pairs)}, special_tokens={}
+    )
+
+    def joins(first: str, points: str) -> np.ndarray:
+        ids = np.array(probe.encode_ordinary("".join(f"{first}{c}\n" for c in points)))
+        lowest = 256 if first == "a" else 512
+        paired = (ids >= lowest) & (ids < lowest + 256)
+        return paired[paired | (ids == ord(first))]
+
+    return edges(joins)
+
+
+@cache
+def classes(letters: bytes, numbers: bytes) -> np.ndarray:
+    """Class of every code point, one past the last included, from ``edges``."""
+    out = np.full(_POINTS + 1, _OTHER, np.uint8)
+    for kind, packed in ((_LETTER, letters), (_NUMBER, numbers)):
+        for a, b in np.frombuffer(packed, "<u4").reshape(-1, 2).tolist():
+            out[a:b] = kind
     out[list(_WHITE_POINTS)] = _WHITE
     out[0x20] = _BLANK
     return out
@@ -89,9 +143,9 @@ def monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(todo, np.uint8), np.array(by_symbol, np.intp), np.array(product, np.intp)
 
 
-def _symbols(points: np.ndarray) -> np.ndarray:
+def _symbols(points: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     """Symbols of code points; 0x110000 ends a text."""
-    kind = classes().take(points)
+    kind = kinds.take(points)
     end = points == 0x110000
     out = kind.copy()  # letters, numbers and others are their own symbols
     white = kind >= _BLANK
@@ -110,7 +164,7 @@ def _symbols(points: np.ndarray) -> np.ndarray:
     return out
 
 
-def starts(points: np.ndarray) -> np.ndarray:
+def starts(points: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     """Whether a piece starts at each code point, by a blocked scan of composed steps."""
     step, start = automaton()
     n = len(points)
@@ -118,7 +172,7 @@ def starts(points: np.ndarray) -> np.ndarray:
         return np.empty(0, bool)
     blocks = -(-n // _BLOCK)
     symbols = np.full(blocks * _BLOCK, _END, np.uint8)
-    symbols[:n] = _symbols(points)
+    symbols[:n] = _symbols(points, kinds)
     columns = np.ascontiguousarray(symbols.reshape(blocks, _BLOCK).T)
     functions, by_symbol, product = monoid()
     # each block's composed function, by its number in the monoid
@@ -187,13 +241,13 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[list[str], bool]]:
         yield held, False
 
 
-def _bounds(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+def _bounds(texts: list[str], kinds: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes of all texts, first byte of each piece, byte after it, pieces of each text)."""
     joined = "".join(f"{t}\0" for t in texts)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     ends = np.cumsum([len(t) + 1 for t in texts]) - 1
     points[ends] = 0x110000
-    first = starts(points)
+    first = starts(points, kinds)
     first[ends] = True
     marks = np.flatnonzero(first)
     raw = joined.encode("utf-8", "surrogatepass")
@@ -206,11 +260,12 @@ def _bounds(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray
     return raw, a, b, np.diff(last, prepend=-1) - 1
 
 
-def pieces(texts: list[str | None]) -> Iterator[list[bytes]]:
+def pieces(texts: list[str | None], kinds: np.ndarray | None = None) -> Iterator[list[bytes]]:
     """The pieces of each text in order, as UTF-8; null is an empty text."""
+    kinds = classes(*tiktoken_edges()) if kinds is None else kinds
     held: list[bytes] = []
     for group, more in _groups(texts):
-        raw, a, b, counts = _bounds(group)
+        raw, a, b, counts = _bounds(group, kinds)
         own = [raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
         if more or held:
             held += own
@@ -252,15 +307,20 @@ def distinct(raw: bytes, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate((at, odd)), number
 
 
+#: Bytes that Python needs for an entry of the cache besides the characters: two headers and a place in a table.
+_ENTRY = 180
+
+
 class Coder:
     """Identifiers of texts from identifiers of pieces; each distinct piece of a group is looked up once.
 
-    Two generations of a cache bound it: when the younger is full it becomes
-    the older, from which what is used again is carried over.
+    Two generations of a cache bound it: when the younger holds ``most`` bytes
+    (what Python needs for an entry included) it becomes the older, from which
+    what is used again is carried over.
     """
 
-    def __init__(self, most: int, longest: int):
-        self.most, self.longest = most, longest
+    def __init__(self, kinds: np.ndarray, most: int, longest: int):
+        self.kinds, self.most, self.longest, self.held = kinds, most, longest, 0
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -279,17 +339,20 @@ class Coder:
                 found[j] = ids
             for i, ids in zip(gaps, found, strict=True):
                 packed[i] = ids
-            pairs = zip(keys, found, strict=True)
-            self.known.update(pairs if max(map(len, keys)) <= self.longest else ((k, v) for k, v in pairs if len(k) <= self.longest))
-            if len(self.known) > self.most:
-                self.known, self.older = {}, self.known
+            if max(map(len, keys)) > self.longest:
+                short = [j for j, k in enumerate(keys) if len(k) <= self.longest]
+                keys, found = [keys[j] for j in short], [found[j] for j in short]
+            self.known.update(zip(keys, found, strict=True))
+            self.held += sum(map(len, keys)) + sum(map(len, found)) + _ENTRY * len(keys)
+            if self.held > self.most:
+                self.known, self.older, self.held = {}, self.known, 0
         return packed
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Identifiers of each text in order."""
         held: list[np.ndarray] = []
         for group, more in _groups(texts):
-            raw, a, b, counts = _bounds(group)
+            raw, a, b, counts = _bounds(group, self.kinds)
             place, number = distinct(raw, a, b)
             packed = self.look_up([raw[i:j] for i, j in zip(a[place].tolist(), b[place].tolist(), strict=True)])
             flat = np.frombuffer(b"".join(packed), "<u4")

@@ -22,6 +22,7 @@ ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -36,10 +37,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._common import materialize, small_batches, work_path
-from .bpe import CACHE_BYTES, CACHE_PIECES, _lists
-from .pretokens import Coder
+from .bpe import CACHE_LONGEST, Shipped, _lists
+from .pretokens import Coder, classes, edges
 
 END_ID = 2
+#: Bytes of one of the two generations of remembered pieces.
+CACHE_BYTES = 64 << 20
 #: Words strung together for one call of the library.
 STRING = 2000
 #: Rows between two entries of a row index, and bytes of a stripe before compression.
@@ -47,13 +50,14 @@ INDEX_ROWS, STRIPE_BYTES = 1000, 16 << 20
 
 
 class Pieces(Coder):
-    """Identifiers from the library."""
+    """Identifiers from the library; ``source`` is a path or what a tokenizer's file holds."""
 
-    def __init__(self, path: str):
+    def __init__(self, source: str | bytes, kinds: np.ndarray | None = None):
         from tokenizers import Tokenizer
 
-        super().__init__(CACHE_PIECES, CACHE_BYTES)
-        self.tokenizer = Tokenizer.from_file(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_buffer(source) if isinstance(source, bytes) else Tokenizer.from_file(source)
+        super().__init__(classes(*_edges_of(self.tokenizer)) if kinds is None else kinds, CACHE_BYTES, CACHE_LONGEST)
         self.added: dict[str, int] = {}
         for i, token in self.tokenizer.get_added_tokens_decoder().items():
             if token.single_word or token.lstrip or token.rstrip or token.normalized:
@@ -104,20 +108,32 @@ class Pieces(Coder):
             at = stop
 
 
+def _edges_of(tokenizer) -> tuple[bytes, bytes]:
+    """Letters and numbers as the tokenizer's pre-tokenizer sees them."""
+
+    def joins(first: str, points: str) -> np.ndarray:
+        spans = np.array([span for _, span in tokenizer.pre_tokenizer.pre_tokenize_str("".join(f"{first}{c}\n" for c in points))])
+        ends = np.zeros(3 * len(points) + 1, bool)
+        ends[spans[:, 1]] = True
+        return ~ends[1::3]
+
+    return edges(joins, lambda text: len(tokenizer.pre_tokenizer.pre_tokenize_str(text)) == 1)
+
+
 @cache
-def _pieces(path: str) -> Pieces:
-    import os
+def library_edges(path: str) -> tuple[bytes, bytes]:
+    from tokenizers import Tokenizer
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Pieces(path)
+    return _edges_of(Tokenizer.from_file(path))
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
     """Write (doc_id, shard, local_start, n_tokens, ids) in ascending order of ids; one file a shard."""
     small_batches(docs.sparkSession)
+    shipped = Shipped(docs.sparkSession, tokenizer, library_edges(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, before = _pieces(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, shard, before = shipped.read(Pieces), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = [np.append(x, np.int32(end_id)) for x in encoder.encode(batch.column(1).to_pylist())]
             sizes = np.array([len(x) for x in ids], np.int64)
