@@ -4,3 +4,5 @@
 declarative feature recipes and the registered queries, ``sources`` read and
 write, ``streaming`` runs monitors on micro-batches.
 """
+
+__version__ = "0.2.0"

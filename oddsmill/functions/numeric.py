@@ -169,3 +169,21 @@ def ks_tail(statistic: float, n1: int, n2: int) -> float:
     if x < 0.2:
         return 1.0
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
+
+
+def ks_pvalue(statistic: Column, n1: Column, n2: Column) -> Column:
+    """``ks_tail`` as a column."""
+    n = F.sqrt(n1 * n2 / (n1 + n2))
+    x = (n + 0.12 + 0.11 / n) * statistic
+    terms = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda a, k: a + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * x * x))
+    return F.when(x < 0.2, 1.0).otherwise(F.least(F.greatest(2 * terms, F.lit(0.0)), F.lit(1.0)))
+
+
+def interval_label(bounds: list[float], i: int, digits: int = 4) -> str:
+    """Name of bin ``i`` of bins (lo, hi] open to both ends."""
+    text = lambda v: f"{v:.{digits}g}"
+    if not bounds:
+        return "(-inf, inf)"
+    lo = "-inf" if i == 0 else text(bounds[i - 1])
+    hi = "inf" if i == len(bounds) else text(bounds[i])
+    return f"({lo}, {hi}{')' if hi == 'inf' else ']'}"

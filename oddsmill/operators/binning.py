@@ -6,11 +6,14 @@ feature; merges are folds over the sorted bins, run inside the plan.
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.numeric import bin_of_array, iv_strength
+from ..functions.numeric import bin_of_array, interval_label, iv_strength
 from .curves import quantiles
 from .stability import quantile_edges
 
@@ -175,7 +178,8 @@ def auto_bins(df: DataFrame, columns: list[str], label: str, prebins: int = 20,
     long = df.where(F.col(label).isNotNull()).select(F.explode(pairs).alias("p"), F.col(label).alias("_y")).select("p.feature", "p.value", "_y").where("value is not null")
     inner = [k / prebins for k in range(1, prebins)]
     cut = quantiles(long, "value", inner, ["feature"]).select(F.col("feature").alias("_f"), F.array_sort(F.array_distinct("q")).alias("_edges"))
-    binned = long.join(cut, F.col("feature") == F.col("_f")).withColumn("bin", bin_of_array(F.col("value"), F.col("_edges")))
+    # what is broadcast is a row of edges a column
+    binned = long.join(F.broadcast(cut), F.col("feature") == F.col("_f")).withColumn("bin", bin_of_array(F.col("value"), F.col("_edges")))
     found = optimal_bins(bin_table(binned, ["feature", "bin"], "_y"), "bin", ["feature"], most).withColumn("non_events", F.col("n") - F.col("events"))
     woe = woe_table(found.drop("event_rate"), ["feature"])
     return woe.withColumn("iv", F.sum("iv_part").over(Window.partitionBy("feature"))).where(F.col("iv") >= least_iv)
@@ -219,3 +223,91 @@ def tree_bins(df: DataFrame, column: str, label: str, most: int = 5, least_share
         leaves += [part[:cut_at], part[cut_at:]]
     firsts = sorted(part[0] for part in leaves if part)[1:]
     return [bounds[k - 1] for k in firsts]
+
+
+def woe_from_json(spark, text: str, key: str) -> DataFrame:
+    """The (key, woe) of a mapping that ``woe_json`` wrote, for ``encode_woe``; the missing category is NULL again."""
+    spec = json.loads(text)
+    rows = [(None if k == MISSING else k, float(v)) for k, v in sorted(spec["mapping"].items())]
+    return spark.createDataFrame(rows, f"{key} string, woe double")
+
+
+def bin_info(df: DataFrame, column: str, found: DataFrame) -> DataFrame:
+    """bin, label, lo, hi: the intervals behind bin numbers; outer ends are NULL."""
+    bounds = found.first()["_edges"] or []
+    ends = [None, *bounds, None]
+    rows = [(i, interval_label(bounds, i), ends[i], ends[i + 1]) for i in range(len(bounds) + 1)]
+    return df.sparkSession.createDataFrame(rows, "bin int, label string, lo double, hi double")
+
+
+def best_cuts(bins: list[tuple[int, int]], most: int = 5, least_share: float = 0.05, trend: str = "auto") -> list[int]:
+    """Places where to cut bins of (n, events) so that the information value is greatest.
+
+    At most ``most`` groups of neighbours, each with ``least_share`` of all rows
+    or more, event rates going one way (``up``, ``down``, the better of both, or
+    any way).  Dynamic programming over (groups, last group), so exact.
+    """
+    if trend == "auto":
+        return max((best_cuts(bins, most, least_share, way) for way in ("up", "down")), key=lambda c: information(bins, c))
+    k, rows, events = len(bins), [0], [0]
+    for n, e in bins:
+        rows.append(rows[-1] + n)
+        events.append(events[-1] + e)
+    need = rows[-1] * least_share
+
+    def part(a: int, b: int) -> float:
+        return _iv_part(rows[b] - rows[a], events[b] - events[a], rows[-1], events[-1])
+
+    def follows(a: int, b: int, c: int) -> bool:
+        """Whether rates of groups [a, b) and [b, c) go the right way."""
+        before, after = (events[b] - events[a]) * (rows[c] - rows[b]), (events[c] - events[b]) * (rows[b] - rows[a])
+        return before < after if trend == "up" else before > after if trend == "down" else True
+
+    best: dict[tuple[int, int], tuple[float, tuple[int, ...]]] = {}  # value and cuts of all groupings of the first b bins whose last group is [a, b)
+    layer = {(0, b): (part(0, b), ()) for b in range(1, k + 1) if rows[b] and rows[b] >= need}
+    for _ in range(most):
+        for at, found in layer.items():
+            if at not in best or found[0] > best[at][0]:
+                best[at] = found
+        following: dict[tuple[int, int], tuple[float, tuple[int, ...]]] = {}
+        for (a, b), (value, cuts) in layer.items():
+            for c in range(b + 1, k + 1):
+                n = rows[c] - rows[b]
+                if n and n >= need and follows(a, b, c) and ((b, c) not in following or value + part(b, c) > following[b, c][0]):
+                    following[b, c] = value + part(b, c), (*cuts, b)
+        layer = following
+    whole = [found for (_, b), found in best.items() if b == k]
+    return list(max(whole, key=lambda x: (x[0], -len(x[1])))[1]) if whole else []
+
+
+def _iv_part(n: int, e: int, rows: int, events: int) -> float:
+    bad, good = (e + EPSILON) / (events + EPSILON), (n - e + EPSILON) / (rows - events + EPSILON)
+    return (good - bad) * math.log(good / bad)
+
+
+def information(bins: list[tuple[int, int]], cuts: list[int]) -> float:
+    """Information value of bins of (n, events) grouped at ``cuts``."""
+    ends = [0, *cuts, len(bins)]
+    rows, events = sum(n for n, _ in bins), sum(e for _, e in bins)
+    return sum(_iv_part(sum(n for n, _ in bins[a:b]), sum(e for _, e in bins[a:b]), rows, events) for a, b in zip(ends, ends[1:]))
+
+
+def best_bins(table: DataFrame, key: str = "bin", by: list[str] | None = None, most: int = 5, least_share: float = 0.05, trend: str = "auto") -> DataFrame:
+    """(by, bin, lo, hi, n, events, event_rate): the grouping of ``best_cuts`` of each bin table.
+
+    Bin tables come to the driver: a few dozen rows a feature, whatever the input.
+    """
+    by = by or []
+    kinds = {f.name: f.dataType.simpleString() for f in table.schema}
+    groups: dict[tuple, list] = {}
+    for r in table.where(F.col(key).isNotNull()).select(*by, key, "n", "events").collect():
+        groups.setdefault(tuple(r[c] for c in by), []).append((int(r[key]), int(r["n"]), int(r["events"])))
+    rows = []
+    for name, bins in groups.items():
+        bins.sort()
+        ends = [0, *best_cuts([b[1:] for b in bins], most, least_share, trend), len(bins)]
+        for i, (a, b) in enumerate(zip(ends, ends[1:])):
+            n, e = sum(x[1] for x in bins[a:b]), sum(x[2] for x in bins[a:b])
+            rows.append((*name, i, bins[a][0], bins[b - 1][0], n, e, e / n if n else None))
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "bin int, lo int, hi int, n long, events long, event_rate double"])
+    return table.sparkSession.createDataFrame(rows, schema)

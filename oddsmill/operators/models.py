@@ -134,12 +134,16 @@ def correlation_importance(df: DataFrame, features: list[str], label: str) -> Da
     return row.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.abs(F.col(f"c{i}")).alias("importance")) for i, f in enumerate(features)])).alias("e")).select("e.*")
 
 
-def drop_column_importance(df: DataFrame, model: Logistic, label: str) -> DataFrame:
-    """feature, importance: the fall in AUC when a feature is replaced by its mean."""
+def drop_column_importance(df: DataFrame, model: Logistic, label: str, places: int = 12) -> DataFrame:
+    """feature, importance: the fall in AUC when a feature is replaced by its mean.
+
+    Probabilities are rounded to ``places``, so that rows whose sums differ by the order of summation only tie.
+    """
     spark = df.sparkSession
     means = df.agg(*[F.avg(f).alias(f) for f in model.features]).first()
-    base = auc_table(model.score(df), label, "p").first()["auc"]
-    rows = [(f, base - auc_table(model.score(df.withColumn(f, F.lit(means[f]))), label, "p").first()["auc"]) for f in model.features]
+    area = lambda rows: auc_table(model.score(rows).withColumn("p", F.round("p", places)), label, "p").first()["auc"]
+    base = area(df)
+    rows = [(f, base - area(df.withColumn(f, F.lit(means[f])))) for f in model.features]
     return spark.createDataFrame(rows, "feature string, importance double")
 
 

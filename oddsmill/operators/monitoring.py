@@ -22,7 +22,7 @@ def batch_performance(df: DataFrame, batch: str, label: str, p: str, threshold:
     return cells.join(area, F.col(batch).eqNullSafe(F.col("_b")), "left").drop("_b")
 
 
-#: Relative fall from the baseline that raises an alert.
+#: Relative fall from the baseline that raises an alert.  Fixed values.
 LIMITS = {"auc": 0.05, "precision": 0.1, "recall": 0.1, "f1": 0.1}
 
 
@@ -101,3 +101,70 @@ def prometheus(histograms: DataFrame, name: str, prefix: str = "oddsmill") -> Da
     quantile = lambda q, c: F.concat(F.lit(f'{prefix}_value{{name="'), F.col(name), F.lit(f'",quantile="{q}"}} '), F.round(c, 6).cast("string"))
     lines = F.array(F.concat(F.lit(f"{prefix}_count"), label, F.lit(" "), F.col("count").cast("string")), quantile("0.5", "p50"), quantile("0.95", "p95"), quantile("0.99", "p99"))
     return histograms.select(F.explode(lines).alias("line"))
+
+
+# Alerts are a log of events; what an alert is follows from its latest event.
+
+ALERT_EVENT = "alert_id string, ts timestamp, severity string, status string, title string, source string, notes string"
+SEVERITIES = ("info", "warning", "critical")
+
+
+def created(alerts: DataFrame) -> DataFrame:
+    """Events that open alerts, from (ts, severity, title, source); the id follows from them."""
+    known = F.col("severity").isin(*SEVERITIES)
+    return alerts.select(
+        alert_id("ts", "title", "source").alias("alert_id"), "ts", F.when(known, F.col("severity")).otherwise(F.raise_error(F.concat(F.lit("unknown severity: "), F.coalesce("severity", F.lit("null"))))).alias("severity"),
+        F.lit("active").alias("status"), "title", "source", F.lit(None).cast("string").alias("notes"),
+    )
+
+
+def changed(log: DataFrame, alert: str, status: str, when: str, notes: str | None = None) -> DataFrame:
+    """The event that sets an alert to ``acknowledged`` or ``resolved``; none where the alert is unknown or resolved already."""
+    if status not in ("acknowledged", "resolved"):
+        raise ValueError(f"unknown status: {status}")
+    now = alert_state(log).where((F.col("alert_id") == alert) & (F.col("status") != "resolved"))
+    return now.select("alert_id", F.lit(when).cast("timestamp").alias("ts"), "severity", F.lit(status).alias("status"), "title", "source", F.lit(notes).cast("string").alias("notes"))
+
+
+def active_alerts(log: DataFrame, severity: str | None = None) -> DataFrame:
+    """Alerts that nobody has resolved, worst and latest first."""
+    state = alert_state(log).where("status <> 'resolved'")
+    if severity:
+        state = state.where(F.col("severity") == severity)
+    return state.orderBy(F.array_position(F.array(*map(F.lit, reversed(SEVERITIES))), F.col("severity")), F.desc("ts"), "alert_id")
+
+
+# Counters only grow and are summed; of a gauge the latest value counts.
+
+
+def counters(samples: DataFrame, name: str, value: str, labels: list[str] | None = None) -> DataFrame:
+    """name, labels, total."""
+    labels = labels or []
+    grows = F.when(F.col(value) >= 0, F.col(value)).otherwise(F.raise_error(F.lit("a counter does not fall")))
+    return samples.where(F.col(value).isNotNull()).groupBy(name, *labels).agg(F.sum(grows).alias("total"))
+
+
+def gauges(samples: DataFrame, name: str, value: str, time: str, labels: list[str] | None = None) -> DataFrame:
+    """name, labels, value: the latest one, the greatest of those of one moment."""
+    labels = labels or []
+    latest = F.max(F.struct(F.col(time).alias("t"), F.col(value).alias("v")))
+    return samples.where(F.col(value).isNotNull()).groupBy(name, *labels).agg(latest.alias("_m")).select(name, *labels, F.col("_m.v").alias("value"))
+
+
+def exposition(table: DataFrame, kind: str, name: str, value: str, labels: list[str] | None = None, prefix: str = "oddsmill") -> DataFrame:
+    """Lines of the text format of counters or gauges: one a series."""
+    pairs = [F.concat(F.lit(f'{c}="'), F.col(c).cast("string"), F.lit('"')) for c in [name, *(labels or [])]]
+    return table.select(F.concat(F.lit(f"{prefix}_{kind}{{"), F.concat_ws(",", *pairs), F.lit("} "), F.col(value).cast("string")).alias("line"))
+
+
+#: Metrics that a scoring service reports, with their kinds and units.  Fixed values.
+STANDARD_METRICS = {
+    "predictions_total": ("counter", "predictions"), "prediction_latency": ("histogram", "milliseconds"), "prediction_errors": ("counter", "errors"),
+    "model_auc": ("gauge", "score"), "feature_drift_psi": ("gauge", "psi"), "approval_rate": ("gauge", "ratio"),
+}
+
+
+def drift_history(reports: DataFrame, time: str = "ts") -> DataFrame:
+    """One row a report: its time, and its features by level."""
+    level = lambda x: F.count_if(F.col("level") == x).alias(x)
+    return reports.groupBy(time).agg(F.count(F.lit(1)).alias("n_features"), level("critical"), level("warning"), level("stable"))

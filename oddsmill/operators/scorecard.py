@@ -73,5 +73,13 @@ class Scorecard:
 
     def spec(self) -> str:
         """The card as JSON."""
-        parts = [{"feature": b.feature, "cuts": b.cuts, "woe": b.woe, "iv": b.iv, "coefficient": c} for b, c in zip(self.bins, self.model.coefficients, strict=True)]
+        parts = [{"feature": b.feature, "cuts": b.cuts, "woe": b.woe, "iv": b.iv, "missing": b.missing, "coefficient": c} for b, c in zip(self.bins, self.model.coefficients, strict=True)]
         return json.dumps({"intercept": self.model.intercept, "features": parts, "scale": {"pdo": 20, "base_score": 600, "base_odds": 50} | self.scale}, sort_keys=True)
+
+    @classmethod
+    def from_spec(cls, text: str) -> Scorecard:
+        """The card that ``spec`` wrote: it scores as that one does."""
+        d = json.loads(text)
+        bins = [FeatureBins(f["feature"], f["cuts"], f["woe"], f["iv"], f.get("missing", 0.0)) for f in d["features"]]
+        model = Logistic([f"{b.feature}_woe" for b in bins], [f["coefficient"] for f in d["features"]], d["intercept"])
+        return cls(bins, model, d["scale"])

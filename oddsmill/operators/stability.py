@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import bin_of_array, equal_width_bin, ks_tail, psi_status, psi_term
+from ..functions.numeric import bin_of_array, equal_width_bin, ks_pvalue, ks_tail, psi_status, psi_term
 from .curves import cumulative, quantiles
 
-#: What an empty share counts as.
+#: What an empty share counts as.  Fixed value.
 FLOOR = 1e-4
 
 
@@ -70,13 +70,16 @@ def unpivoted(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def psi_all(expected: DataFrame, actual: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
-    """feature, psi, status of numeric columns by quantiles of the expected side, in one job."""
+    """feature, psi, status of numeric columns by quantiles of the expected side, in one job.
+
+    What is broadcast is a row of ``bins`` edges a column.
+    """
     e, a = unpivoted(expected, columns).where("value is not null"), unpivoted(actual, columns).where("value is not null")
     inner = [k / bins for k in range(1, bins)]
     edges = quantiles(e, "value", inner, ["feature"]).select(F.col("feature").alias("_f"), F.array_sort(F.array_distinct("q")).alias("_edges"))
 
     def side(d: DataFrame, name: str) -> DataFrame:
-        binned = d.join(edges, F.col("feature") == F.col("_f")).withColumn("bin", bin_of_array(F.col("value"), F.col("_edges")))
+        binned = d.join(F.broadcast(edges), F.col("feature") == F.col("_f")).withColumn("bin", bin_of_array(F.col("value"), F.col("_edges")))
         n = binned.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("_n"))
         total = n.groupBy(F.col("feature").alias("_tf")).agg(F.sum("_n").alias("_all"))
         return n.join(total, F.col("feature") == F.col("_tf")).select("feature", "bin", (F.col("_n") / F.col("_all")).alias(name))
@@ -107,6 +110,18 @@ def ks_two_samples(expected: DataFrame, actual: DataFrame, column: str) -> DataF
     return curve.crossJoin(F.broadcast(totals)).agg(F.max(gap).alias("ks"), F.max("E").alias("n_expected"), F.max("A").alias("n_actual"))  # one row
 
 
+def ks_by_feature(expected: DataFrame, actual: DataFrame, columns: list[str]) -> DataFrame:
+    """feature, ks, ks_pvalue, n_expected, n_actual of numeric columns in one job."""
+    side = lambda d, e: unpivoted(d, columns).where("value is not null").select("feature", F.col("value").alias("v"), F.lit(e).alias("e"))
+    both = side(expected, 1).unionByName(side(actual, 0))
+    curve = cumulative(both, "v", {"ne": F.col("e"), "na": 1 - F.col("e")}, ["feature"], low=None, high=None)
+    totals = both.groupBy(F.col("feature").alias("_f")).agg(F.sum("e").alias("E"), F.sum(1 - F.col("e")).alias("A"))
+    gap = F.abs((F.col("ne_below") + F.col("ne")) / F.col("E") - (F.col("na_below") + F.col("na")) / F.col("A"))
+    out = curve.join(F.broadcast(totals), F.col("feature") == F.col("_f"))  # a row a column
+    out = out.groupBy("feature").agg(F.max(gap).alias("ks"), F.max("E").alias("n_expected"), F.max("A").alias("n_actual"))
+    return out.select("feature", "ks", ks_pvalue(F.col("ks"), F.col("n_expected"), F.col("n_actual")).alias("ks_pvalue"), "n_expected", "n_actual")
+
+
 def ks_test(expected: DataFrame, actual: DataFrame, column: str) -> dict:
     row = ks_two_samples(expected, actual, column).first()
     tail = ks_tail(row["ks"], row["n_expected"], row["n_actual"])
@@ -122,12 +137,14 @@ def reference_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def drift_report(reference: DataFrame, current: DataFrame, columns: list[str], limit: float = 0.1) -> DataFrame:
-    """feature, psi, level, mean_change_pct: stable below the limit, warning below 2.5 limits, else critical."""
+    """feature, psi, ks, ks_pvalue, level, mean_change_pct: stable below the limit, warning below 2.5 limits, else critical."""
     means = lambda d, n: unpivoted(d, columns).groupBy("feature").agg(F.avg("value").alias(n))
     joined = psi_all(reference, current, columns).drop("status").join(means(reference, "_r"), "feature").join(means(current, "_c"), "feature")
     level = F.when(F.col("psi") < limit, "stable").when(F.col("psi") < 2.5 * limit, "warning").otherwise("critical")
     change = F.when(F.col("_r") != 0, (F.col("_c") - F.col("_r")) / F.col("_r") * 100)
-    return joined.select("feature", "psi", level.alias("level"), change.alias("mean_change_pct"))
+    gaps = ks_by_feature(reference, current, columns).select(F.col("feature").alias("_f"), "ks", "ks_pvalue")
+    joined = joined.join(gaps, F.col("feature") == F.col("_f"))
+    return joined.select("feature", "psi", "ks", "ks_pvalue", level.alias("level"), change.alias("mean_change_pct"))
 
 
 def overall_level(report: DataFrame) -> DataFrame:

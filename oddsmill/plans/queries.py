@@ -7,6 +7,7 @@ order of summation does not show.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,7 +122,12 @@ def h_measure(spark, sf_dir):
     return rounded(ranking.h_measure(apps(spark, sf_dir), "y", "p"))
 
 
-@query()
+@query(f"""WITH {CURVE}, a AS (SELECT sum(pos * (nb + neg / 2.0)) / (max(tp) * max(tn)) AS auc, greatest(1 - min(tn - nb + pb) / CAST(least(max(tp), max(tn)) AS DOUBLE), 0) AS h FROM c),
+r AS (SELECT p, (tp - pb) / CAST(tp AS DOUBLE) - (tn - nb) / CAST(tn AS DOUBLE) AS gap FROM c ORDER BY gap DESC, p DESC LIMIT 1),
+k AS (SELECT share, greatest(floor((SELECT max(tp + tn) FROM c) * share), 1) AS top_n FROM (VALUES (CAST(0.1 AS DOUBLE)), (CAST(0.2 AS DOUBLE))) AS v(share)),
+l AS (SELECT share, sum({_TOP} * pos) / top_n / (max(tp) / CAST(max(tp + tn) AS DOUBLE)) AS lift FROM c CROSS JOIN k GROUP BY share, top_n)
+SELECT round(auc, 6) AS auc, round(2 * auc - 1, 6) AS gini, round(2 * auc - 1, 6) AS accuracy_ratio, round(gap, 6) AS ks, p AS ks_threshold,
+round((SELECT lift FROM l WHERE share = 0.1), 6) AS lift_10, round((SELECT lift FROM l WHERE share = 0.2), 6) AS lift_20, round(h, 6) AS h_measure FROM a CROSS JOIN r""")
 def ranking_summary(spark, sf_dir):
     return rounded(ranking.ranking_summary(apps(spark, sf_dir), "y", "p"))
 
@@ -656,13 +662,30 @@ def psi_all_features(spark, sf_dir):
     return rounded(stability.psi_all(*_sides(spark, sf_dir), ["l_quantity", "l_tax", "l_extendedprice"]))
 
 
-@query(f"""WITH {_SIDES}, r AS ({_psi_sql('l_quantity')} UNION ALL {_psi_sql('l_tax')}), m AS (SELECT 'l_quantity' AS feature, (SELECT avg(l_quantity) FROM ex) AS x, (SELECT avg(l_quantity) FROM ac) AS z UNION ALL SELECT 'l_tax', (SELECT avg(l_tax) FROM ex), (SELECT avg(l_tax) FROM ac))
-SELECT r.feature AS feature, round(psi, 6) AS psi, CASE WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.25 THEN 'warning' ELSE 'critical' END AS level, round((z - x) / x * 100, 6) AS mean_change_pct FROM r JOIN m ON r.feature = m.feature""")
+_KS_SUM = "least(greatest(2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2.0 * k * k * x * x))), 0), 1)"
+
+
+def _drift_sql(columns: list[str]) -> str:
+    """feature, psi, ks, ks_pvalue, level, mean_change_pct of the two sides."""
+    psi = " UNION ALL ".join(_psi_sql(c) for c in columns)
+    mean = " UNION ALL ".join(f"SELECT '{c}' AS feature, (SELECT avg({c}) FROM ex) AS r, (SELECT avg({c}) FROM ac) AS z" for c in columns)
+    both = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS v, {e} AS e FROM {side}" for c in columns for side, e in (("ex", 1), ("ac", 0)))
+    return f"""{_SIDES}, r AS ({psi}), m AS ({mean}), b AS ({both}), g AS (SELECT feature, v, sum(e) AS ne, sum(1 - e) AS na FROM b GROUP BY feature, v),
+c AS (SELECT feature, sum(ne) OVER w AS ce, sum(na) OVER w AS ca, sum(ne) OVER (PARTITION BY feature) AS te, sum(na) OVER (PARTITION BY feature) AS ta FROM g WINDOW w AS (PARTITION BY feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+s AS (SELECT feature, max(abs(ce / CAST(te AS DOUBLE) - ca / CAST(ta AS DOUBLE))) AS ks, sqrt(max(te) * max(ta) / CAST(max(te) + max(ta) AS DOUBLE)) AS n FROM c GROUP BY feature),
+x AS (SELECT feature, ks, (n + 0.12 + 0.11 / n) * ks AS x FROM s),
+drift AS (SELECT r.feature AS feature, psi, ks, CASE WHEN x < 0.2 THEN 1.0 ELSE {_KS_SUM} END AS ks_pvalue, CASE WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.25 THEN 'warning' ELSE 'critical' END AS level, (z - m.r) / m.r * 100 AS mean_change_pct
+FROM r JOIN m ON r.feature = m.feature JOIN x ON r.feature = x.feature)"""
+
+
+@query(f"WITH {_drift_sql(['l_quantity', 'l_tax'])} SELECT feature, round(psi, 6) AS psi, round(ks, 6) AS ks, round(ks_pvalue, 6) AS ks_pvalue, level, round(mean_change_pct, 6) AS mean_change_pct FROM drift")
 def drift_report(spark, sf_dir):
     return rounded(stability.drift_report(*_sides(spark, sf_dir), ["l_quantity", "l_tax"]))
 
 
-@query()
+@query(f"""WITH {_drift_sql(['l_quantity', 'l_tax', 'l_extendedprice'])}, n AS (SELECT count(*) AS n_features, CAST(sum(CASE WHEN level = 'critical' THEN 1 ELSE 0 END) AS BIGINT) AS critical,
+CAST(sum(CASE WHEN level = 'warning' THEN 1 ELSE 0 END) AS BIGINT) AS warning, CAST(sum(CASE WHEN level = 'stable' THEN 1 ELSE 0 END) AS BIGINT) AS stable FROM drift)
+SELECT *, CASE WHEN critical > 0 THEN 'critical' WHEN warning > 0 THEN 'warning' ELSE 'stable' END AS overall FROM n""")
 def drift_overall(spark, sf_dir):
     return stability.overall_level(stability.drift_report(*_sides(spark, sf_dir), ["l_quantity", "l_tax", "l_extendedprice"]))
 
@@ -738,10 +761,17 @@ def performance_by_batch(spark, sf_dir):
     return rounded(monitoring.batch_performance(apps(spark, sf_dir), "yr", "y", "p"))
 
 
-@query()
+def _batch_sql() -> str:
+    return SQL["performance_by_batch"]
+
+
+@query(f"""WITH per AS ({_batch_sql()}), m AS (SELECT * FROM (VALUES ('auc', CAST(0.05 AS DOUBLE)), ('precision', CAST(0.1 AS DOUBLE)), ('recall', CAST(0.1 AS DOUBLE)), ('f1', CAST(0.1 AS DOUBLE))) AS v(metric, "limit")),
+v AS (SELECT yr, unnest([{{'metric': 'auc', 'value': auc}}, {{'metric': 'precision', 'value': precision}}, {{'metric': 'recall', 'value': recall}}, {{'metric': 'f1', 'value': f1}}]) AS e FROM per),
+x AS (SELECT m.metric AS metric, b.e.value AS baseline, c.e.value AS current, "limit", (b.e.value - c.e.value) / b.e.value AS fall FROM m JOIN v b ON b.e.metric = m.metric AND b.yr = 1995 JOIN v c ON c.e.metric = m.metric AND c.yr = 2000)
+SELECT metric, baseline, current, "limit", round(fall, 4) AS fall, CASE WHEN fall > 2 * "limit" THEN 'critical' WHEN fall > "limit" THEN 'alert' ELSE 'ok' END AS level FROM x""")
 def performance_health(spark, sf_dir):
     per = monitoring.batch_performance(apps(spark, sf_dir), "yr", "y", "p")
-    return rounded(monitoring.health(per.where("yr = 2000"), per.where("yr = 1995")))
+    return rounded(monitoring.health(per.where("yr = 2000"), per.where("yr = 1995")).withColumn("fall", F.round("fall", 4)))
 
 
 @query("""WITH q AS (SELECT quantile_cont(value, [0.25, 0.5, 0.75]) AS q, event_type, count(*) AS n, avg(value) AS m, stddev_pop(value) AS sd, min(value) AS mn, max(value) AS mx, sum(CASE WHEN value < 10 OR value > 300 THEN 1 ELSE 0 END) AS o FROM events GROUP BY event_type)
@@ -774,7 +804,8 @@ def metric_histograms(spark, sf_dir):
     return rounded(h.withColumn("sum", F.round("sum", 4)))
 
 
-@query()
+@query(f"""WITH h AS ({SQL['metric_histograms']}), l AS (SELECT unnest(['oddsmill_count{{name="' || event_type || '"}} ' || CAST(count AS VARCHAR), 'oddsmill_value{{name="' || event_type || '",quantile="0.5"}} ' || CAST(p50 AS VARCHAR),
+'oddsmill_value{{name="' || event_type || '",quantile="0.95"}} ' || CAST(p95 AS VARCHAR), 'oddsmill_value{{name="' || event_type || '",quantile="0.99"}} ' || CAST(p99 AS VARCHAR)]) AS line FROM h) SELECT line FROM l""")
 def prometheus_lines(spark, sf_dir):
     return monitoring.prometheus(monitoring.histogram_metrics(table(spark, sf_dir, "events"), "event_type", "value"), "event_type")
 
@@ -848,7 +879,23 @@ def correlation_importance(spark, sf_dir):
     return rounded(models.correlation_importance(apps(spark, sf_dir), _MODEL, "y"))
 
 
-@query()
+_TRAINING = "t AS (SELECT *, CASE WHEN l_quantity * l_discount * 2 + l_tax * 10 > 2.5 THEN 1 ELSE 0 END AS y FROM lineitem)"
+
+
+def _auc_sql(score: str) -> str:
+    """The area under the curve of a score of ``t`` and its label."""
+    return f"""(SELECT sum(pos * (nb + neg / 2.0)) / (sum(pos) * sum(neg)) FROM (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb
+FROM (SELECT s, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM (SELECT round({score}, 12) AS s, y FROM t) GROUP BY s)))"""
+
+
+def _dropped(f: str) -> str:
+    return _Z.replace(f, f"(SELECT avg({f}) FROM t)")
+
+
+_DROPS = " UNION ALL ".join(f"SELECT '{f}' AS feature, {_auc_sql(f'1 / (1 + exp(-{_Z}))')} - {_auc_sql(f'1 / (1 + exp(-{_dropped(f)}))')} AS importance" for f in _MODEL)
+
+
+@query(f"WITH {_TRAINING}, d AS ({_DROPS}) SELECT feature, round(importance, 6) AS importance FROM d")
 def drop_column_importance(spark, sf_dir):
     return rounded(models.drop_column_importance(_training(spark, sf_dir), _FIXED, "y"))
 
@@ -858,7 +905,8 @@ def permutation_importance(spark, sf_dir):
     return rounded(models.permutation_importance(_training(spark, sf_dir), _FIXED, "y", _KEYS, repeats=1))
 
 
-@query()
+@query(f"""WITH {_TRAINING}, d AS ({_DROPS}), c AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, abs(corr({f}, y)) AS importance FROM t" for f in _MODEL)}),
+r AS (SELECT feature, rank() OVER (ORDER BY importance DESC) AS k FROM d UNION ALL SELECT feature, rank() OVER (ORDER BY importance DESC) FROM c) SELECT feature, round(1 / avg(k), 6) AS consensus FROM r GROUP BY feature""")
 def consensus_importance(spark, sf_dir):
     t = _training(spark, sf_dir)
     return rounded(models.consensus([models.correlation_importance(t, _MODEL, "y"), models.drop_column_importance(t, _FIXED, "y")]))
@@ -902,10 +950,21 @@ def run_comparison(spark, sf_dir):
     return governance.compare_runs(runs, str(ends[0]), str(ends[1]))
 
 
-@query("SELECT 'chain_' || CAST(i AS VARCHAR) AS artifact, CAST(i AS INT) AS depth FROM range(0, 6) AS v(i)")
+_LINKS = """links AS (SELECT 'order:' || o_orderkey AS child, 'customer:' || o_custkey AS parent FROM orders UNION SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer UNION SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation
+UNION SELECT 'order:' || l_orderkey, 'part:' || l_partkey FROM lineitem UNION SELECT 'part:' || l_partkey, 'supplier:' || l_suppkey FROM lineitem UNION SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier)"""
+
+
+@query(f"""WITH RECURSIVE {_LINKS}, up AS (SELECT 'order:' || min(o_orderkey) AS artifact, 0 AS depth FROM orders UNION SELECT parent, depth + 1 FROM links JOIN up ON child = artifact WHERE depth < 20)
+SELECT artifact, CAST(min(depth) AS INT) AS depth FROM up GROUP BY artifact""")
 def artifact_lineage(spark, sf_dir):
-    links = spark.range(5).select(F.concat(F.lit("chain_"), F.col("id")).alias("child"), F.concat(F.lit("chain_"), F.col("id") + 1).alias("parent"))
-    return governance.lineage(links, "chain_0")
+    name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    link = lambda t, a, x, b, y: table(spark, sf_dir, t).select(name(a, x).alias("child"), name(b, y).alias("parent"))
+    parts = [
+        link("orders", "order", "o_orderkey", "customer", "o_custkey"), link("customer", "customer", "c_custkey", "nation", "c_nationkey"), link("nation", "nation", "n_nationkey", "region", "n_regionkey"),
+        link("lineitem", "order", "l_orderkey", "part", "l_partkey"), link("lineitem", "part", "l_partkey", "supplier", "l_suppkey"), link("supplier", "supplier", "s_suppkey", "nation", "s_nationkey"),
+    ]
+    first = table(spark, sf_dir, "orders").agg(F.min("o_orderkey")).first()[0]
+    return governance.lineage(reduce(DataFrame.unionByName, parts), f"order:{first}")
 
 
 @query()
@@ -949,9 +1008,15 @@ def evaluation_report(spark, sf_dir):
     return rounded(evaluation.evaluation_report(apps(spark, sf_dir), "y", "p"))
 
 
-@query()
+def _compared_sql(name: str, score: str) -> str:
+    curve = f"(SELECT s, pos, neg, coalesce(sum(pos) OVER w, 0) AS pb, coalesce(sum(neg) OVER w, 0) AS nb FROM (SELECT s, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM (SELECT round({score}, 12) AS s, y FROM t) GROUP BY s) WINDOW w AS (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
+    return f"""SELECT '{name}' AS model, a.auc AS auc, 2 * a.auc - 1 AS gini, a.ks AS ks, (SELECT avg(({score} - y) * ({score} - y)) FROM t) AS brier
+FROM (SELECT sum(pos * (nb + neg / 2.0)) / (sum(pos) * sum(neg)) AS auc, max((1 - pb / (SELECT sum(y) FROM t)) - (1 - nb / (SELECT sum(1 - y) FROM t))) AS ks FROM {curve}) a"""
+
+
+@query(f"WITH {_TRAINING}, m AS ({_compared_sql('linear', f'1 / (1 + exp(-{_Z}))')} UNION ALL {_compared_sql('other', 'l_discount * 10')}) SELECT model, round(auc, 6) AS auc, round(gini, 6) AS gini, round(ks, 6) AS ks, round(brier, 6) AS brier FROM m")
 def model_comparison(spark, sf_dir):
-    a = _FIXED.score(_training(spark, sf_dir), "linear").withColumn("other", F.col("l_discount") * 10)
+    a = _FIXED.score(_training(spark, sf_dir), "linear").withColumn("linear", F.round("linear", 12)).withColumn("other", F.round(F.col("l_discount") * 10, 12))
     return rounded(evaluation.compare_models(a, "y", ["linear", "other"]))
 
 
@@ -973,7 +1038,8 @@ def csi_by_score(spark, sf_dir):
     return rounded(stability.csi(place(ex), place(ac), "bin", "y"))
 
 
-@query()
+@query(f"""WITH i AS (SELECT l_orderkey, 1 / (1 + exp(-{_Z})) AS p, [{{'impact': 0.05 * l_quantity, 'feature': 'l_quantity', 'code': 'RC01'}}, {{'impact': 4.0 * l_discount, 'feature': 'l_discount', 'code': 'RC02'}}, {{'impact': -2.0 * l_tax, 'feature': 'l_tax', 'code': 'RC03'}}] AS a FROM lineitem)
+SELECT l_orderkey, '{{"application":' || CAST(l_orderkey AS VARCHAR) || ',"score":' || CAST(round(p, 6) AS VARCHAR) || ',"codes":["' || array_to_string(list_transform(list_sort(a), lambda r: r.code), '","') || '"]}}' AS notice FROM i""")
 def adverse_notices(spark, sf_dir):
     li = _FIXED.score(table(spark, sf_dir, "lineitem").select(*_KEYS, *_MODEL))
     out = models.reason_codes(li, dict(zip(_MODEL, _FIXED.coefficients, strict=True)), "p", 2.0, {f: f"RC{i:02d}" for i, f in enumerate(_MODEL, 1)})
