@@ -169,6 +169,14 @@ def optimal_bins(table: DataFrame, key: str = "bin", by: list[str] | None = None
     return _flat(bare.withColumn("merged", F.expr(fold)).drop("t"), by)
 
 
+def prebin_edges(df: DataFrame, columns: list[str], prebins: int = 20) -> DataFrame:
+    """(_f, _edges): the distinct inner quantiles of numeric columns, in one job."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
+    long = df.select(F.explode(pairs).alias("p")).select("p.feature", "p.value").where("value is not null")
+    inner = [k / prebins for k in range(1, prebins)]
+    return quantiles(long, "value", inner, ["feature"]).select(F.col("feature").alias("_f"), F.array_sort(F.array_distinct("q")).alias("_edges"))
+
+
 def auto_bins(df: DataFrame, columns: list[str], label: str, prebins: int = 20, most: int = 5, least_iv: float = 0.02) -> DataFrame:
     """(feature, bin, lo, hi, n, events, non_events, event_rate, woe, iv_part, iv): optimal bins of all numeric columns in one job.
 
@@ -176,11 +184,13 @@ def auto_bins(df: DataFrame, columns: list[str], label: str, prebins: int = 20,
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
     long = df.where(F.col(label).isNotNull()).select(F.explode(pairs).alias("p"), F.col(label).alias("_y")).select("p.feature", "p.value", "_y").where("value is not null")
+    # how often each value comes with each outcome: edges and bins both follow from it
+    long = long.groupBy("feature", "value", "_y").agg(F.count(F.lit(1)).alias("_n"))
     inner = [k / prebins for k in range(1, prebins)]
-    cut = quantiles(long, "value", inner, ["feature"]).select(F.col("feature").alias("_f"), F.array_sort(F.array_distinct("q")).alias("_edges"))
+    cut = quantiles(long, "value", inner, ["feature"], weight="_n").select(F.col("feature").alias("_f"), F.array_sort(F.array_distinct("q")).alias("_edges"))
     # what is broadcast is a row of edges a column
     binned = long.join(F.broadcast(cut), F.col("feature") == F.col("_f")).withColumn("bin", bin_of_array(F.col("value"), F.col("_edges")))
-    found = optimal_bins(bin_table(binned, ["feature", "bin"], "_y"), "bin", ["feature"], most).withColumn("non_events", F.col("n") - F.col("events"))
+    found = optimal_bins(bin_table(binned, ["feature", "bin"], "_y", "_n"), "bin", ["feature"], most).withColumn("non_events", F.col("n") - F.col("events"))
     woe = woe_table(found.drop("event_rate"), ["feature"])
     return woe.withColumn("iv", F.sum("iv_part").over(Window.partitionBy("feature"))).where(F.col("iv") >= least_iv)
 

@@ -2,7 +2,9 @@
 
 Rows are summed by distinct key first.  Keys fall into buckets of equal width
 between their bounds; bucket totals are summed over the buckets, and each
-bucket is summed by itself.  No task holds more than a bucket.
+bucket is summed by itself.  No task holds more than a bucket.  Far outliers
+make the other values share few buckets; their distinct values are then sorted
+by few tasks, which spill.
 """
 
 from __future__ import annotations
@@ -71,15 +73,16 @@ def roc(df: DataFrame, label: str, p: str, weight: str | None = None, by: list[s
     return curve.join(renamed, _same(by, "_")).drop(*[f"_{c}" for c in by])
 
 
-def quantiles(df: DataFrame, column: str, shares: list[float], by: list[str] | None = None, out: str = "q") -> DataFrame:
-    """One row per ``by`` with array ``out``: exact quantiles, interpolated between neighbours.
+def quantiles(df: DataFrame, column: str, shares: list[float], by: list[str] | None = None, out: str = "q", weight: str | None = None) -> DataFrame:
+    """One row per ``by`` with array ``out``: exact quantiles, interpolated between neighbours; ``weight`` counts rows.
 
     The built-in exact percentile holds all values of a group in one task;
     here each rank is looked up on the cumulative curve of distinct values.
     """
     by = by or []
-    curve = cumulative(df, column, {"n": F.lit(1)}, by, low=None, high=None)
-    totals = df.where(F.col(column).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_all"))
+    times = F.col(weight) if weight else F.lit(1)
+    curve = cumulative(df, column, {"n": times}, by, low=None, high=None)
+    totals = df.where(F.col(column).isNotNull()).groupBy(*by).agg(F.sum(times).alias("_all"))
     if by:
         totals = totals.select(*[F.col(c).alias(f"_t_{c}") for c in by], "_all")
         ranked = curve.join(totals, _same(by, "_t_")).drop(*[f"_t_{c}" for c in by])

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import bin_of
-from .binning import auto_bins, edges
+from .binning import auto_bins, prebin_edges
 from .calibration import score_of
 from .compression import compress, verify, weighted_labels
 from .models import Logistic
@@ -49,13 +49,14 @@ class Scorecard:
         table: dict[str, list] = {}
         for r in auto_bins(df, features, label, most=most_bins, least_iv=least_iv).collect():
             table.setdefault(r["feature"], []).append(r)
+        if not table:
+            raise ValueError("no feature carries enough information")
+        cuts = {r["_f"]: r["_edges"] or [] for r in prebin_edges(df.where(F.col(label).isNotNull()), sorted(table)).collect()}  # a row a feature
         chosen = []
         for f in sorted(table, key=lambda f: (-table[f][0]["iv"], f)):
-            found = edges(df.where(F.col(label).isNotNull()).withColumn(f, F.col(f).cast("double")), f, 20).first()["_edges"] or []
+            found = cuts[f]
             rows = sorted(table[f], key=lambda r: r["lo"])
             chosen.append(FeatureBins(f, [found[r["lo"] - 1] for r in rows[1:]], [r["woe"] for r in rows], rows[0]["iv"]))
-        if not chosen:
-            raise ValueError("no feature carries enough information")
         names = [f"{b.feature}_bin" for b in chosen]
         binned = df.where(F.col(label).isNotNull()).select(F.col(label), *[b.bin().alias(n) for b, n in zip(chosen, names, strict=True)])
         groups = compress(binned, names, label)

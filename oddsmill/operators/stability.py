@@ -69,25 +69,30 @@ def unpivoted(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).select("p.feature", "p.value")
 
 
-def psi_all(expected: DataFrame, actual: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
-    """feature, psi, status of numeric columns by quantiles of the expected side, in one job.
+def both_sides(expected: DataFrame, actual: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, value, ne, na): how often each side has each value, from which edges, shares, gaps and means all follow."""
+    side = lambda d, e: unpivoted(d, columns).where("value is not null").select("feature", "value", F.lit(e).alias("e"))
+    both = side(expected, 1).unionByName(side(actual, 0))
+    return both.groupBy("feature", "value").agg(F.sum("e").alias("ne"), F.sum(1 - F.col("e")).alias("na"))
 
-    What is broadcast is a row of ``bins`` edges a column.
-    """
-    e, a = unpivoted(expected, columns).where("value is not null"), unpivoted(actual, columns).where("value is not null")
+
+def _psi_of(h: DataFrame, bins: int) -> DataFrame:
+    """feature, psi, and the mean of each side, by quantiles of the expected side."""
     inner = [k / bins for k in range(1, bins)]
-    edges = quantiles(e, "value", inner, ["feature"]).select(F.col("feature").alias("_f"), F.array_sort(F.array_distinct("q")).alias("_edges"))
+    edges = quantiles(h.where("ne > 0"), "value", inner, ["feature"], weight="ne").select(F.col("feature").alias("_f"), F.array_sort(F.array_distinct("q")).alias("_edges"))
+    # what is broadcast is a row of edges a column
+    binned = h.join(F.broadcast(edges), F.col("feature") == F.col("_f")).withColumn("bin", bin_of_array(F.col("value"), F.col("_edges")))
+    total = lambda c: F.sum(F.col("value") * F.col(c))
+    n = binned.groupBy("feature", "bin").agg(F.sum("ne").alias("e"), F.sum("na").alias("a"), total("ne").alias("se"), total("na").alias("sa"))
+    whole = n.groupBy("feature").agg(F.sum("e").alias("E"), F.sum("a").alias("A"), F.sum("se").alias("SE"), F.sum("sa").alias("SA"), F.collect_list(F.struct("e", "a")).alias("cells"))  # a cell a bin
+    share = lambda c, t: F.when(c > 0, c / t).otherwise(F.lit(FLOOR))
+    terms = F.transform("cells", lambda c: psi_term(share(c["a"], F.col("A")), share(c["e"], F.col("E"))))
+    return whole.select("feature", F.aggregate(terms, F.lit(0.0), lambda x, y: x + y).alias("psi"), (F.col("SE") / F.col("E")).alias("mean_expected"), F.when(F.col("A") > 0, F.col("SA") / F.col("A")).alias("mean_actual"))
 
-    def side(d: DataFrame, name: str) -> DataFrame:
-        binned = d.join(F.broadcast(edges), F.col("feature") == F.col("_f")).withColumn("bin", bin_of_array(F.col("value"), F.col("_edges")))
-        n = binned.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("_n"))
-        total = n.groupBy(F.col("feature").alias("_tf")).agg(F.sum("_n").alias("_all"))
-        return n.join(total, F.col("feature") == F.col("_tf")).select("feature", "bin", (F.col("_n") / F.col("_all")).alias(name))
 
-    both = side(e, "expected").join(side(a, "actual"), ["feature", "bin"], "full_outer")
-    share = lambda c: F.coalesce(F.col(c), F.lit(FLOOR))
-    out = both.groupBy("feature").agg(F.sum(psi_term(share("actual"), share("expected"))).alias("psi"))
-    return out.withColumn("status", psi_status(F.col("psi")))
+def psi_all(expected: DataFrame, actual: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
+    """feature, psi, status of numeric columns by quantiles of the expected side, in one job."""
+    return _psi_of(both_sides(expected, actual, columns), bins).select("feature", "psi", psi_status(F.col("psi")).alias("status"))
 
 
 def csi(expected: DataFrame, actual: DataFrame, segment: str, label: str) -> DataFrame:
@@ -110,18 +115,20 @@ def ks_two_samples(expected: DataFrame, actual: DataFrame, column: str) -> DataF
     return curve.crossJoin(F.broadcast(totals)).agg(F.max(gap).alias("ks"), F.max("E").alias("n_expected"), F.max("A").alias("n_actual"))  # one row
 
 
-def ks_by_feature(expected: DataFrame, actual: DataFrame, columns: list[str]) -> DataFrame:
-    """feature, ks, ks_pvalue, n_expected, n_actual of numeric columns in one job."""
-    side = lambda d, e: unpivoted(d, columns).where("value is not null").select("feature", F.col("value").alias("v"), F.lit(e).alias("e"))
-    both = side(expected, 1).unionByName(side(actual, 0))
-    curve = cumulative(both, "v", {"ne": F.col("e"), "na": 1 - F.col("e")}, ["feature"], low=None, high=None)
-    totals = both.groupBy(F.col("feature").alias("_f")).agg(F.sum("e").alias("E"), F.sum(1 - F.col("e")).alias("A"))
+def _ks_of(h: DataFrame) -> DataFrame:
+    curve = cumulative(h, "value", {"ne": F.col("ne"), "na": F.col("na")}, ["feature"], low=None, high=None)
+    totals = h.groupBy(F.col("feature").alias("_f")).agg(F.sum("ne").alias("E"), F.sum("na").alias("A"))
     gap = F.abs((F.col("ne_below") + F.col("ne")) / F.col("E") - (F.col("na_below") + F.col("na")) / F.col("A"))
     out = curve.join(F.broadcast(totals), F.col("feature") == F.col("_f"))  # a row a column
     out = out.groupBy("feature").agg(F.max(gap).alias("ks"), F.max("E").alias("n_expected"), F.max("A").alias("n_actual"))
     return out.select("feature", "ks", ks_pvalue(F.col("ks"), F.col("n_expected"), F.col("n_actual")).alias("ks_pvalue"), "n_expected", "n_actual")
 
 
+def ks_by_feature(expected: DataFrame, actual: DataFrame, columns: list[str]) -> DataFrame:
+    """feature, ks, ks_pvalue, n_expected, n_actual of numeric columns in one job."""
+    return _ks_of(both_sides(expected, actual, columns))
+
+
 def ks_test(expected: DataFrame, actual: DataFrame, column: str) -> dict:
     row = ks_two_samples(expected, actual, column).first()
     tail = ks_tail(row["ks"], row["n_expected"], row["n_actual"])
@@ -138,12 +145,11 @@ def reference_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def drift_report(reference: DataFrame, current: DataFrame, columns: list[str], limit: float = 0.1) -> DataFrame:
     """feature, psi, ks, ks_pvalue, level, mean_change_pct: stable below the limit, warning below 2.5 limits, else critical."""
-    means = lambda d, n: unpivoted(d, columns).groupBy("feature").agg(F.avg("value").alias(n))
-    joined = psi_all(reference, current, columns).drop("status").join(means(reference, "_r"), "feature").join(means(current, "_c"), "feature")
+    h = both_sides(reference, current, columns)
+    gaps = _ks_of(h).select(F.col("feature").alias("_f"), "ks", "ks_pvalue")
+    joined = _psi_of(h, 10).join(F.broadcast(gaps), F.col("feature") == F.col("_f"))  # a row a column
     level = F.when(F.col("psi") < limit, "stable").when(F.col("psi") < 2.5 * limit, "warning").otherwise("critical")
-    change = F.when(F.col("_r") != 0, (F.col("_c") - F.col("_r")) / F.col("_r") * 100)
-    gaps = ks_by_feature(reference, current, columns).select(F.col("feature").alias("_f"), "ks", "ks_pvalue")
-    joined = joined.join(gaps, F.col("feature") == F.col("_f"))
+    change = F.when(F.col("mean_expected") != 0, (F.col("mean_actual") - F.col("mean_expected")) / F.col("mean_expected") * 100)
     return joined.select("feature", "psi", "ks", "ks_pvalue", level.alias("level"), change.alias("mean_change_pct"))
 
 
