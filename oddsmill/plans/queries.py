@@ -762,16 +762,17 @@ def performance_by_batch(spark, sf_dir):
 
 
 def _batch_sql() -> str:
-    return SQL["performance_by_batch"]
+    """``performance_by_batch`` before its rounding."""
+    return SQL["performance_by_batch"].replace(_P, "@p").replace("round(", "(").replace(", 6)", ")").replace("@p", _P)
 
 
 @query(f"""WITH per AS ({_batch_sql()}), m AS (SELECT * FROM (VALUES ('auc', CAST(0.05 AS DOUBLE)), ('precision', CAST(0.1 AS DOUBLE)), ('recall', CAST(0.1 AS DOUBLE)), ('f1', CAST(0.1 AS DOUBLE))) AS v(metric, "limit")),
 v AS (SELECT yr, unnest([{{'metric': 'auc', 'value': auc}}, {{'metric': 'precision', 'value': precision}}, {{'metric': 'recall', 'value': recall}}, {{'metric': 'f1', 'value': f1}}]) AS e FROM per),
 x AS (SELECT m.metric AS metric, b.e.value AS baseline, c.e.value AS current, "limit", (b.e.value - c.e.value) / b.e.value AS fall FROM m JOIN v b ON b.e.metric = m.metric AND b.yr = 1995 JOIN v c ON c.e.metric = m.metric AND c.yr = 2000)
-SELECT metric, baseline, current, "limit", round(fall, 4) AS fall, CASE WHEN fall > 2 * "limit" THEN 'critical' WHEN fall > "limit" THEN 'alert' ELSE 'ok' END AS level FROM x""")
+SELECT metric, round(baseline, 6) AS baseline, round(current, 6) AS current, "limit", round(fall, 6) AS fall, CASE WHEN fall > 2 * "limit" THEN 'critical' WHEN fall > "limit" THEN 'alert' ELSE 'ok' END AS level FROM x""")
 def performance_health(spark, sf_dir):
     per = monitoring.batch_performance(apps(spark, sf_dir), "yr", "y", "p")
-    return rounded(monitoring.health(per.where("yr = 2000"), per.where("yr = 1995")).withColumn("fall", F.round("fall", 4)))
+    return rounded(monitoring.health(per.where("yr = 2000"), per.where("yr = 1995")))
 
 
 @query("""WITH q AS (SELECT quantile_cont(value, [0.25, 0.5, 0.75]) AS q, event_type, count(*) AS n, avg(value) AS m, stddev_pop(value) AS sd, min(value) AS mn, max(value) AS mx, sum(CASE WHEN value < 10 OR value > 300 THEN 1 ELSE 0 END) AS o FROM events GROUP BY event_type)
