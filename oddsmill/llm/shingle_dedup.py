@@ -1,22 +1,28 @@
-"""Near-duplicates by similarity of five-word shingles, for the pipeline.
+"""SimHash near-duplicates by five-word shingles, for the pipeline.
 
 Two texts are near copies when the Jaccard similarity of their sets of
 shingles is ``LEAST`` or more; groups are the connected components.  Texts of
-one set are one node.  A node's set is hashed ``BANDS * ROWS`` ways and the
-minima are cut into bands; nodes that share a band are candidates, and every
-candidate link is verified on the whole sets.  At similarity 0.8 two texts
-share no band with probability (1 - 0.8^4)^24, three in a million; above, less.
-
-First each node is held against the least node of each of its bands.  Then
-all pairs under a band are compared, unless they are in one component already.
-What leaves that join are pairs alike in size, as similar sets must be, that
-pass two sketches.  One has, for each of ``CELLS`` cells, whether the cell holds
-an odd number of the set's shingles: two sets differ in at least as many
-shingles as these bits differ, so no link is lost by it, and little else passes
-while a set is not many times ``CELLS``.  The other has two bits of each of the 96
-minima, of which at most ``FAR`` may differ: at similarity 0.8 a place differs
-with probability 0.15, and more than 32 do with probability 2 in a million.
-Where more than ``HOT`` nodes share a band they are dealt into parts of about
+one set are one node.  A node's SimHash has a bit set where over half of its
+shingles' hashes have it.  At similarity 0.8 two fingerprints differ in 15 %
+of their bits, beyond what blocks of 64 bits can select, so the fingerprint is
+``WORDS`` words long: ``TABLES`` keys of ``BITS`` bits each select, the 128 bits
+of the sketch are compared by Hamming distance, and every candidate link is
+verified on the whole sets.  At similarity 0.8 two texts share no key with
+probability (1 - 0.8485^14)^112, seven in a million, and differ in more than
+``FAR`` bits of the sketch with less; above, less.  Sets of few shingles
+differ from that law: four shingles and the same four with a fifth differ in
+19 % of the bits and share no key with probability 0.2 %.
+
+Keys are short, so most nodes under one are strangers.  A semi-join first
+keeps of each key the nodes with a near neighbour under it, by size and sketch.
+Each of those is held against the least and the greatest node under the key,
+then all pairs under a key are compared, unless they are in one component
+already.  What leaves these joins are pairs alike in size, as similar sets must
+be, near by their sketches, and near by parities: for each of ``CELLS`` cells,
+whether it holds an odd number of the set's shingles.  Two sets differ in at
+least as many shingles as these bits differ, so no link is lost by it, and
+little else passes while a set is not many times ``CELLS``.
+Where more than ``HOT`` nodes share a key they are dealt into parts of about
 ``HOT``, and every two parts meet under a key of their own: the same pairs,
 over more tasks.
 
@@ -41,17 +47,23 @@ from .components import components
 from .simhash import _LOWER, SEED, _hashes, _parts, heads_of
 
 WIDTH, LEAST = 5, 0.8
-BANDS, ROWS = 24, 4
-#: Nodes of a part: more under one band are dealt into parts, of which every two meet.
+#: Keys of a fingerprint, and bits of each.
+TABLES, BITS = 112, 14
+#: Words of 64 bits of a fingerprint: two of the sketch, the others for the keys.
+WORDS = 2 + -(-TABLES * BITS // 64)
+#: Nodes of a part: more under one key are dealt into parts, of which every two meet.
 HOT = 512
-#: Places of 96 in which the sketches of a candidate pair may differ.
-FAR = 32
+#: Bits of 128 in which the sketches of a candidate pair may differ.
+FAR = 40
 #: Cells whose counts' parity a set keeps.
 CELLS = 1024
-#: Shingles that are hashed at once.
-CHUNK = 1024
+#: Shingles that are counted at once, in bytes.
+CHUNK = 255
 
-_TIMES = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_TIMES = np.random.default_rng(SEED).integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+_TABLE = np.arange(TABLES, dtype=np.int32) << BITS
+_PLACES = 1 << np.arange(BITS, dtype=np.int32)
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -68,20 +80,26 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def minima(marks: np.ndarray) -> np.ndarray:
-    """The least value of a set under each hash."""
-    return np.min([(marks[at : at + CHUNK] * _TIMES[:, None]).min(axis=1) for at in range(0, len(marks), CHUNK)], axis=0)
+def fingerprint(marks: np.ndarray) -> np.ndarray:
+    """The bits of a set's SimHash: 1 where over half of the shingles have it."""
+    counts = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(marks), CHUNK):
+        x = marks[at : at + CHUNK, None] * _TIMES
+        x ^= x >> np.uint64(31)
+        x *= _MIX
+        x ^= x >> np.uint64(32)
+        counts += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return (2 * counts > len(marks)).astype(np.uint8)
 
 
-def bands(least: np.ndarray) -> list[int]:
-    """One signed key a band, from the minima."""
-    return [_key(x.tobytes()) for x in least.reshape(BANDS, ROWS)]
+def keys(bits: np.ndarray) -> np.ndarray:
+    """One int a table: its number, then its bits."""
+    return bits[128 : 128 + TABLES * BITS].reshape(TABLES, BITS) @ _PLACES + _TABLE
 
 
-def sketch(least: np.ndarray) -> list[int]:
-    """Two bits of each minimum in three signed longs."""
-    bits = ((least >> np.uint64(20)) & np.uint64(3)).reshape(3, 32) << (2 * np.arange(32, dtype=np.uint64))
-    return np.bitwise_or.reduce(bits, axis=1).view(np.int64).tolist()
+def sketch(bits: np.ndarray) -> list[int]:
+    """The first 128 bits in two signed longs."""
+    return np.packbits(bits[:128]).view(np.int64).tolist()
 
 
 def parities(marks: np.ndarray) -> list[int]:
@@ -95,36 +113,53 @@ def _key(raw: bytes) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key (tells rows of one id apart), node (hash of the set), keys (of the bands), sketch, odd (parities), marks (the set)."""
+#: Columns of ``signatures`` and their types.
+COLUMNS = {"doc_id": "", "text_key": "long", "node": "long", "size": "int", "keys": "array<int>", "sketch": "array<long>", "odd": "array<long>", "marks": "array<long>"}
+
+
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = tuple(COLUMNS)) -> DataFrame:
+    """doc_id, text_key (tells rows of one id apart), node (hash of the set), size, keys (of the tables), sketch, odd (parities), marks (the set)."""
     small_batches(docs.sparkSession)
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(x.as_py()) for x in batch.column(2)]
-            nodes = pa.array([_key(s.tobytes()) for s in sets], pa.int64())
-            least = [minima(s) if len(s) else None for s in sets]  # the empty set is a single node and has no bands
-            keys = pa.array([[] if m is None else bands(m) for m in least], pa.list_(pa.int64()))
-            sketches = pa.array([[0, 0, 0] if m is None else sketch(m) for m in least], pa.list_(pa.int64()))
-            odd = pa.array([parities(s) for s in sets], pa.list_(pa.int64()))
-            marks = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, keys, sketches, odd, marks], ["doc_id", "text_key", "node", "keys", "sketch", "odd", "marks"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
+            bits = [fingerprint(s) for s in sets]
+            made = {
+                "doc_id": lambda: batch.column(0),  # noqa: B023
+                "text_key": lambda: batch.column(1),  # noqa: B023
+                "node": lambda: pa.array([_key(s.tobytes()) for s in sets], pa.int64()),  # noqa: B023
+                "size": lambda: pa.array([len(s) for s in sets], pa.int32()),  # noqa: B023
+                # the empty set is a single node and has no keys
+                "keys": lambda: pa.array([keys(x) if len(s) else [] for s, x in zip(sets, bits)], pa.list_(pa.int32())),  # noqa: B023
+                "sketch": lambda: pa.array([sketch(x) for x in bits], longs),  # noqa: B023
+                "odd": lambda: pa.array([parities(s) for s in sets], longs),  # noqa: B023
+                "marks": lambda: pa.array([s.view(np.int64) for s in sets], longs),  # noqa: B023
+            }
+            yield pa.RecordBatch.from_arrays([made[c]() for c in columns], list(columns))
+
+    kinds = COLUMNS | {"doc_id": docs.schema[id_col].dataType.simpleString()}
     rows = docs.select(F.col(id_col), F.xxhash64(text_col).alias("text_key"), F.col(text_col))
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, node long, keys array<long>, sketch array<long>, odd array<long>, marks array<long>")
+    return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns))
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """Whether two sizes allow similar sets."""
+    return F.least(a, b) >= F.lit(LEAST) * F.greatest(a, b) - 1e-9
 
 
-def _apart(a: Column, b: Column) -> Column:
-    """In how many places two sketches differ."""
-    odd = F.lit(0x5555555555555555)
-    differ = lambda i: a[i].bitwiseXOR(b[i])
-    return sum((F.bit_count(differ(i).bitwiseOR(F.shiftrightunsigned(differ(i), 1)).bitwiseAND(odd)) for i in range(3)), F.lit(0))
+def _apart(a: list[Column], b: list[Column]) -> Column:
+    """In how many bits two lists of longs differ."""
+    return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)), F.lit(0))
 
 
-def _odd_apart(a: Column, b: Column) -> Column:
-    """In how many cells two parities differ; two sets differ in at least as many shingles."""
-    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(CELLS // 64)), F.lit(0))
+def _may_link(a: str, b: str) -> Column:
+    """Whether the sets behind two prefixes of size, sketch and odd may be similar."""
+    of = lambda x, name, n: [F.col(f"{x}{name}")[i] for i in range(n)]
+    size = [F.col(f"{x}size") for x in (a, b)]
+    few = _apart(of(a, "odd", CELLS // 64), of(b, "odd", CELLS // 64)) <= (size[0] + size[1]) * F.lit((1 - LEAST) / (1 + LEAST)) + 1e-9
+    return _alike(*size) & (_apart(of(a, "sketch", 2), of(b, "sketch", 2)) <= FAR) & few
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -136,7 +171,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def candidates(apart: DataFrame, hot: int = HOT) -> DataFrame:
-    """Distinct (u, v) that share a band, are in two components and may be similar, from (band, key, n, root, node, size, sketch, odd)."""
+    """Distinct (u, v) that share a key, are in two components and may be similar, from (band, key, n, root, node, size, sketch, odd)."""
     parts = F.ceil(F.col("n") / F.lit(hot))
     dealt = apart.withColumn("part", F.pmod(F.xxhash64("node", "band"), parts)).withColumn("last", parts - 1)
     # the parts i <= j meet under (i, j); part p is the left one with all j from p on and the right one with all i up to p
@@ -145,11 +180,8 @@ def candidates(apart: DataFrame, hot: int = HOT) -> DataFrame:
     a = left.select("band", "key", "i", "j", "node", "root", "size", "sketch", "odd")
     b = right.select(*[F.col(x).alias(f"_{x}") for x in a.columns])
     met = [F.col(x) == F.col(f"_{x}") for x in ("band", "key", "i", "j")]
-    both = F.col("size") + F.col("_size")
-    alike = F.least("size", "_size") >= F.lit(LEAST) * F.greatest("size", "_size") - 1e-9
-    few = _odd_apart(F.col("odd"), F.col("_odd")) <= both * F.lit((1 - LEAST) / (1 + LEAST)) + 1e-9
     once = (F.col("i") < F.col("j")) | (F.col("node") < F.col("_node"))
-    near = once & (F.col("root") != F.col("_root")) & alike & few & (_apart(F.col("sketch"), F.col("_sketch")) <= FAR)
+    near = once & (F.col("root") != F.col("_root")) & _may_link("", "_")
     pairs = a.join(b, met[0] & met[1] & met[2] & met[3] & near)
     return pairs.select(F.least("node", "_node").alias("u"), F.greatest("node", "_node").alias("v")).distinct()
 
@@ -168,36 +200,52 @@ def _merged(first: DataFrame, more: DataFrame) -> DataFrame:
     return moved.unionByName(alone.select(F.col("_n").alias("node"), F.col("_root").alias("root")))
 
 
-def roots(rows: DataFrame, hot: int = HOT) -> DataFrame:
-    """(node, root) of every node with a verified link to another."""
-    nodes = rows.select("node", "keys").dropDuplicates(["node"])
-    met = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    sizes = met.groupBy(F.col("band").alias("_b"), F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1")
-    sizes = materialize(sizes, "near-sizes")
-    on = (F.col("band") == F.col("_b")) & (F.col("key") == F.col("_k"))
-    met = materialize(met.join(sizes, on).drop("_b", "_k"), "near-meetings")
-    wanted = met.select(F.col("node").alias("_n")).distinct()
-    sets = rows.select("node", "sketch", "odd", "marks").join(wanted, F.col("node") == F.col("_n"), "left_semi").dropDuplicates(["node"])
+def neighbours(nodes: DataFrame) -> DataFrame:
+    """(key, node) of the nodes that have under a key another one of like size and near sketch; nodes has node, size, keys, sketch."""
+    s = [F.col("sketch")[i].alias(f"s{i}") for i in range(2)]
+    met = nodes.select("node", "size", *s, F.explode("keys").alias("key"))
+    a, b = met.alias("a"), met.alias("b")
+    of = lambda x: [F.col(f"{x}.s{i}") for i in range(2)]
+    near = (F.col("a.node") != F.col("b.node")) & _alike(F.col("a.size"), F.col("b.size")) & (_apart(of("a"), of("b")) <= FAR)
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & near, "left_semi").select("key", "node")
+
+
+def roots(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, hot: int = HOT) -> DataFrame:
+    """(node, root) of every node with a verified link to another; ``rows`` has text_key, node, size, keys, sketch of ``docs``."""
+    nodes = materialize(rows.select("node", "size", "keys", "sketch").dropDuplicates(["node"]), "near-nodes")
+    near = materialize(neighbours(nodes), "near-neighbours")
+    # whole sets only of nodes with neighbours, from their texts once more: all sets would outweigh the texts
+    wanted = near.select(F.col("node").alias("_n")).distinct()
+    texts = rows.join(wanted, F.col("node") == F.col("_n"), "left_semi").select(F.col("text_key").alias("_key")).distinct()
+    again = docs.select(id_col, text_col).join(texts, F.xxhash64(text_col) == F.col("_key"), "left_semi")
+    sets = signatures(again, id_col, text_col, ("node", "size", "sketch", "odd", "marks")).dropDuplicates(["node"])
     sets = materialize(sets, "near-sets")
-    first = components(_verified(met.where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct(), sets))
+    marked = sets.select(F.col("node").alias("_n"), "size", "sketch", "odd")
+    met = near.join(marked, F.col("node") == F.col("_n")).select(F.shiftright("key", BITS).alias("band"), "key", "node", "size", "sketch", "odd")
+    met = materialize(met, "near-meetings")
+
+    on = (F.col("band") == F.col("_b")) & (F.col("key") == F.col("_k"))
+    one = F.struct("node", "size", "sketch", "odd")
+    ends = met.groupBy(F.col("band").alias("_b"), F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("n"), F.array(F.min(one), F.max(one)).alias("ends"))
+    ends = materialize(ends, "near-ends")
+    heads = ends.select("_b", "_k", F.explode("ends").alias("e")).select("_b", "_k", *[F.col(f"e.{x}").alias(f"_{x}") for x in ("node", "size", "sketch", "odd")])
+    pairs = met.join(heads, on & (F.col("node") != F.col("_node")) & _may_link("", "_"))
+    pairs = pairs.select(F.least("node", "_node").alias("u"), F.greatest("node", "_node").alias("v")).distinct()
+    first = materialize(components(_verified(pairs, sets)), "near-first")
 
     known = first.select(F.col("node").alias("_n"), "root")
-    apart = met.join(known, F.col("node") == F.col("_n"), "left").select("band", "key", "n", "node", F.coalesce("root", "node").alias("root"))
-    # under most bands one component is left, and no pair is to be compared
-    mixed = apart.groupBy(F.col("band").alias("_b"), F.col("key").alias("_k")).agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    apart = apart.join(mixed.where("least <> most"), on, "left_semi")
-    marked = sets.select(F.col("node").alias("_n"), F.size("marks").alias("size"), "sketch", "odd")
-    apart = materialize(apart.join(marked, F.col("node") == F.col("_n")).drop("_n"), "near-apart")
+    apart = met.join(known, F.col("node") == F.col("_n"), "left").drop("_n").withColumn("root", F.coalesce("root", "node"))
+    apart = materialize(apart.join(ends.select("_b", "_k", "n"), on).drop("_b", "_k"), "near-apart")
     pairs = materialize(candidates(apart, hot), "near-pairs")
     out = materialize(_merged(first, _verified(pairs, sets)), "near-roots")
-    discard(met, sizes, sets, apart, pairs)
+    discard(nodes, near, sets, met, ends, first, apart, pairs)
     return out
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, text_key, root (the same for all documents of a group)."""
-    rows = materialize(signatures(docs, id_col, text_col), "near-rows")
-    members = roots(rows, hot).select(F.col("node").alias("_n"), "root")
+    rows = materialize(signatures(docs, id_col, text_col, ("doc_id", "text_key", "node", "size", "keys", "sketch")), "near-rows")
+    members = roots(rows, docs, id_col, text_col, hot).select(F.col("node").alias("_n"), "root")
     joined = rows.select("doc_id", "text_key", "node").join(members, F.col("node") == F.col("_n"), "left")
     out = materialize(joined.select("doc_id", "text_key", F.coalesce("root", "node").alias("root")), "near-groups")
     discard(rows)
